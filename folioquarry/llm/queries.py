@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioquarry.llm import byte_bpe, knn_quality, license_index, pii, quality_lines, secret_scan, warc, winnow
+from folioquarry.llm import byte_bpe, html_tree, knn_quality, license_index, pii, quality_lines, secret_scan, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op10_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
