@@ -104,3 +104,26 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 def char_starts(data: np.ndarray) -> np.ndarray:
     """Mask of the bytes that begin a code point."""
     return (data & 0xC0) != 0x80
+
+
+_MIX = np.random.default_rng(3).integers(1, 2**63, (256,), dtype=np.uint64)
+_POWER = np.random.default_rng(4).integers(1, 2**63, (4096,), dtype=np.uint64) | np.uint64(1)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(w: Words) -> np.ndarray:
+    """64-bit hashes of the words, the same in every batch and process."""
+    starts = np.zeros(len(w.data), np.int64)
+    starts[w.start] = w.start
+    place = np.arange(len(w.data)) - np.maximum.accumulate(starts)
+    with np.errstate(over="ignore"):
+        value = _MIX[w.data] * _POWER[place & 4095]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(value)])
+        return mixed(sums[w.end] - sums[w.start] + (w.end - w.start).astype(np.uint64))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioquarry.llm.common import Words, over_texts
+from folioquarry.llm.common import Words, over_texts, word_hashes
 
 SLOTS, RANK, NEIGHBOURS, PER_LABEL, THRESHOLD = 1024, 48, 25, 1500, 0.3
 #: Weight of the word-form block beside the trigram block, both of unit length.
@@ -31,8 +31,6 @@ _CLASS[128:] = 0
 _CLASS[list(range(65, 91))] = 1
 _CLASS[list(range(48, 58))] = 2
 FORMS = 4 * 4 * 2 + 1  # class of the first and last byte, mixed case or symbols, and equality with the word before
-_MIX = np.random.default_rng(3).integers(1, 2**63, (256,), dtype=np.uint64)
-_POWER = np.random.default_rng(4).integers(1, 2**63, (64,), dtype=np.uint64) | np.uint64(1)
 
 
 def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,10 +47,7 @@ def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         kind = _CLASS[w.data]
         mixed = (w.total(kind == 1) > 1) | (w.total(kind == 3) > 1)
         form = (_CLASS[w.data[w.start]] * 4 + _CLASS[w.data[w.end - 1]]) * 2 + mixed
-        with np.errstate(over="ignore"):
-            value = _MIX[w.data] * _POWER[_places(w) & 63]
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(value)])
-            word = sums[w.end] - sums[w.start]
+        word = word_hashes(w)
         same = np.zeros(len(size), bool)
         same[1:] = (word[1:] == word[:-1]) & (size[1:] == size[:-1]) & (w.doc[1:] == w.doc[:-1])
         np.add.at(forms, (w.doc, form), 1)
@@ -61,13 +56,6 @@ def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return grams, forms
 
 
-def _places(w: Words) -> np.ndarray:
-    """Byte's place within its word (of no meaning between words)."""
-    starts = np.zeros(len(w.data), np.int64)
-    starts[w.start] = w.start
-    return np.arange(len(w.data)) - np.maximum.accumulate(starts)
-
-
 @dataclass
 class Model:
     """idf: trigram weights; basis: vector x rank; vectors and labels of the sample, in its order."""

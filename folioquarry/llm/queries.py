@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioquarry.llm import byte_bpe, html_tree, knn_quality, license_index, pii, quality_lines, secret_scan, warc, winnow
+from folioquarry.llm import byte_bpe, dart_minhash, html_tree, knn_quality, license_index, pii, quality_lines, secret_scan, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_index.scan(table(spark, sf_dir, "documents"))
 
