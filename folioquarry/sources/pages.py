@@ -1,0 +1,151 @@
+"""Web pages to facts: one tolerant parse a page, in Arrow batches, gives the wide row that every rule reads."""
+
+from __future__ import annotations
+
+import re
+import xml.etree.ElementTree as ET
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+FACTS = """name string, lang string, title string, ids array<string>, links array<string>, scripts int, tex_formulas array<string>,
+text_formulas array<string>, lost_formulas int, images array<struct<has_alt:boolean,alt:string,decorative:boolean,src:string>>,
+headings array<struct<level:int,text:string>>, tables array<struct<has_th:boolean,has_caption:boolean,role:string,wrapped:boolean,has_td:boolean>>,
+labeled_links array<struct<label:string,text:string>>, formula_headers array<struct<tbl:int,tex:string>>, presentation boolean, parse_error string"""
+
+# The classes and roles that mark a formula, a scroll region, a presentation.
+LAYOUT_ROLES = ("presentation", "none")
+
+
+class _Facts(HTMLParser):
+    """Collects facts as tags go by; open captures gather text until their element ends."""
+
+    def __init__(self, name: str):
+        super().__init__(convert_charrefs=True)
+        self.out = {"name": name, "lang": None, "title": None, "ids": [], "links": [], "scripts": 0, "tex_formulas": [], "text_formulas": [], "lost_formulas": 0, "images": [], "headings": [], "tables": [], "labeled_links": [], "formula_headers": [], "presentation": False, "parse_error": None}
+        self.captures: list[tuple[str, int, list[str], object]] = []
+        self.depth: dict[str, int] = {}
+        self.tables: list[dict] = []
+        self.regions: list[bool] = []
+        self.quiet = 0
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in ("img", "br", "hr", "input", "meta", "link"):
+            self.handle_endtag(tag)
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        a, out = {k: v or "" for k, v in reversed(attrs)}, self.out
+        if a.get("id"):
+            out["ids"].append(a["id"])
+        if tag in ("html", "body") and (a.get("lang") or a.get("xml:lang")):
+            out["lang"] = a.get("lang") or a.get("xml:lang")
+        classes = a.get("class", "").split()
+        if tag == "body" or tag == "div":
+            out["presentation"] |= "reveal" in classes
+        if tag in ("script", "style"):
+            out["scripts"] += tag == "script"
+            self.quiet += 1
+            return
+        decorative = a.get("aria-hidden") == "true" or a.get("role") == "presentation"
+        if tag == "img":
+            out["images"].append({"has_alt": "alt" in a, "alt": a.get("alt", ""), "decorative": decorative, "src": a.get("src", "")})
+            self._text(a.get("alt", ""), headings_only=True)
+        elif tag == "title":
+            self._open(tag, "title")
+        elif re.fullmatch("h[1-6]", tag):
+            self._open(tag, ("heading", int(tag[1])))
+        elif tag == "a" and "href" in a:
+            out["links"].append(a["href"])
+            if a.get("aria-label"):
+                self._open(tag, ("label", a["aria-label"]))
+        elif tag == "span" and "math" in classes:
+            if "inline" in classes or "display" in classes:
+                self._open(tag, "tex")
+            elif classes == ["math"]:
+                self._open(tag, "formula")
+        elif tag == "div":
+            self.regions.append("tabindex" in a and a.get("role") == "region")
+        elif tag == "table":
+            fact = {"has_th": False, "has_caption": False, "role": a.get("role"), "wrapped": any(self.regions), "has_td": False}
+            out["tables"].append(fact)
+            self.tables.append(fact)
+        elif self.tables and tag in ("th", "td", "caption"):
+            self.tables[-1][{"th": "has_th", "td": "has_td", "caption": "has_caption"}[tag]] = True
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("script", "style"):
+            self.quiet = max(0, self.quiet - 1)
+        elif tag == "table" and self.tables:
+            self.tables.pop()
+        elif tag == "div" and self.regions:
+            self.regions.pop()
+        for i in range(len(self.captures) - 1, -1, -1):
+            if self.captures[i][0] == tag:
+                for _, _, text, what in reversed(self.captures[i:]):
+                    self._done(" ".join("".join(text).split()), what)
+                del self.captures[i:]
+                break
+
+    def handle_data(self, data: str) -> None:
+        if not self.quiet:
+            self._text(data)
+
+    def _open(self, tag: str, what: object) -> None:
+        self.captures.append((tag, 0, [], what))
+
+    def _text(self, data: str, headings_only: bool = False) -> None:
+        for _, _, text, what in self.captures:
+            if not headings_only or isinstance(what, tuple) and what[0] == "heading":
+                text.append(data)
+
+    def _done(self, text: str, what: object) -> None:
+        out = self.out
+        if what == "title":
+            out["title"] = out["title"] or text
+        elif what == "tex":
+            out["tex_formulas"].append(text)
+        elif what == "formula":
+            out["text_formulas"].append(text)
+        elif what[0] == "heading":
+            out["headings"].append({"level": what[1], "text": text})
+        else:
+            out["labeled_links"].append({"label": what[1], "text": text})
+
+
+def facts_of(name: str, markup: str | None, strict: bool = False) -> dict:
+    """Facts of one page; ``strict`` also records why it is not well-formed XML, and reads on tolerantly."""
+    reader = _Facts(name)
+    reader.feed(markup or "")
+    reader.close()
+    for _, _, text, what in reversed(reader.captures):  # cut pages end within an element
+        reader._done(" ".join("".join(text).split()), what)
+    if strict:
+        try:
+            ET.fromstring(re.sub(r"&(?!amp;|lt;|gt;|quot;|apos;|#)\w+;", "", markup or ""))
+        except ET.ParseError as e:
+            reader.out["parse_error"] = str(e)
+        for t in reader.out["tables"]:
+            t["wrapped"] = None
+    return reader.out
+
+
+def read_pages(pages: DataFrame, name_col: str = "url", html_col: str = "html", strict: bool = False) -> DataFrame:
+    """Facts of every page; a null page is an empty one."""
+    rows = pages.select(F.col(name_col).cast("string").alias("name"), F.col(html_col).cast("string").alias("html"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in FACTS.replace("\n", " ").split(", ")]
+        for batch in batches:
+            yield pd.DataFrame([facts_of(n, h, strict) for n, h in zip(batch["name"], batch["html"], strict=True)], columns=columns)
+
+    return rows.mapInPandas(run, FACTS)
+
+
+def html_language(pages: DataFrame, html_col: str = "html") -> F.Column:
+    """The body's language before the html element's, without a parse."""
+    get = lambda tag: F.nullif(F.regexp_extract(F.col(html_col), rf"(?i)<{tag}\b[^>]*?\blang\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit(""))
+    return F.coalesce(get("body"), get("html"))
