@@ -1,8 +1,10 @@
-"""Rules over one page's facts: each is a filter and projection of exploded facts to (where, check, detail)."""
+"""Rules over one page's facts.
 
-from __future__ import annotations
+Each rule is a Column that gives an array of (check, detail); all arrays of a page are joined and exploded once, so
+pages are parsed and scanned once however many rules there are, and nothing is shuffled.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,80 +14,93 @@ from folioquarry.operators import alttext
 from folioquarry.sources.pages import LAYOUT_ROLES
 
 
-def _find(rows: DataFrame, check: str | Column, detail: str | Column) -> DataFrame:
-    return rows.select(F.col("name").alias("where"), (F.lit(check) if isinstance(check, str) else check).alias("check"), (F.lit(detail) if isinstance(detail, str) else detail).alias("detail"))
+def _found(check: str | Column, detail: str | Column) -> Column:
+    return F.struct((F.lit(check) if isinstance(check, str) else check).alias("check"), (F.lit(detail) if isinstance(detail, str) else detail).alias("detail"))
+
+
+def _each(array: str, keep, check: str | Column, detail) -> Column:
+    """A finding for each element (with its place) that ``keep`` holds for."""
+    return F.array_compact(F.transform(array, lambda x, i: F.when(F.coalesce(keep(x, i), F.lit(False)), _found(check, detail(x, i)))))
 
 
 def _cut(x: Column) -> Column:
     return F.when(F.length(x) <= 80, x).otherwise(F.concat(F.substring(x, 1, 79), F.lit("…")))
 
 
-def document_rules(facts: DataFrame) -> DataFrame:
+def document_rules() -> list[Column]:
     """Language, title, formulas and well-formedness."""
     stem = F.regexp_replace(F.regexp_extract("name", "([^/]*)$", 1), r"(?<=[^.])\.[^.]*$", "")
     named = F.exists("headings", lambda h: (h["level"] == 1) & (h["text"] == F.col("title")))
-    parts = [
-        _find(facts.filter("lang is null or lang = ''"), "no-lang", "the html element declares no language"),
-        _find(facts.filter("title is null or title = ''"), "no-title", "the page has no title"),
-        _find(facts.filter((F.col("title") == stem) & (F.instr(stem, " ") == 0) & stem.rlike("[_.-]|[a-z][A-Z]") & ~named), "title-is-file-name", F.col("title")),
-        _find(facts.filter("lost_formulas > 0"), "formula-lost", F.format_string("%d formula(s)", "lost_formulas")),
-        _find(facts.filter("scripts = 0").withColumn("x", F.explode("tex_formulas")), "formula-shown-as-tex", _cut(F.col("x"))),
-        _find(facts.filter("scripts = 0").withColumn("x", F.explode("text_formulas")), "formula-kept-as-text", _cut(F.col("x"))),
-        _find(facts.filter("parse_error is not null"), "not-well-formed", F.col("parse_error")),
+    one = [
+        F.when(F.coalesce("lang", F.lit("")) == "", _found("no-lang", "the html element declares no language")),
+        F.when(F.coalesce("title", F.lit("")) == "", _found("no-title", "the page has no title")),
+        F.when((F.col("title") == stem) & (F.instr(stem, " ") == 0) & stem.rlike("[_.-]|[a-z][A-Z]") & ~named, _found("title-is-file-name", F.col("title"))),
+        F.when(F.col("lost_formulas") > 0, _found("formula-lost", F.format_string("%d formula(s)", "lost_formulas"))),
+        F.when(F.col("parse_error").isNotNull(), _found("not-well-formed", F.col("parse_error"))),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    bare = F.col("scripts") == 0
+    return [F.array_compact(F.array(*one)), _each("tex_formulas", lambda x, i: bare, "formula-shown-as-tex", lambda x, i: _cut(x)), _each("text_formulas", lambda x, i: bare, "formula-kept-as-text", lambda x, i: _cut(x))]
 
 
-def id_rules(facts: DataFrame) -> DataFrame:
-    """Each further occurrence of an id, and ids with white space: occurrences count within the array, without a shuffle."""
-    ids = facts.select("name", F.col("ids").alias("all"), F.posexplode("ids").alias("pos", "id"))
-    again = F.array_contains(F.slice("all", F.lit(1), F.col("pos")), F.col("id"))
-    return _find(ids.filter(again), "duplicate-id", F.col("id")).unionByName(_find(ids.filter(F.col("id").rlike(r"(?U)[\s\x1c-\x1f]")), "invalid-id", F.col("id")))
+def id_rules() -> list[Column]:
+    """Each further occurrence of an id, and ids with white space."""
+    ids = F.col("ids")
+    return [
+        _each("ids", lambda x, i: F.array_position(ids, x) <= i, "duplicate-id", lambda x, i: x),
+        _each("ids", lambda x, i: x.rlike(r"(?U)[\s\x1c-\x1f]"), "invalid-id", lambda x, i: x),
+    ]
 
 
-def image_rules(facts: DataFrame) -> DataFrame:
+def image_rules() -> list[Column]:
     """The first of: no alt, empty alt, the file's name, the cascade of problems."""
-    images = facts.select("name", F.inline("images"))
-    found = alttext.problem(F.col("alt"), limit=None)
-    quoted = F.concat("src", F.lit(": '"), "alt", F.lit("'"))
-    check = (
-        F.when(~F.col("has_alt"), "image-without-alt").when((squeeze("alt") == "") & ~F.col("decorative"), "image-empty-alt-not-decorative")
-        .when(alttext.is_file_name(F.col("alt"), F.col("src")), "image-alt-is-file-name").when(~F.col("decorative") & found.isNotNull(), F.concat(F.lit("image-alt-"), found["kind"]))
-    )
-    detail = F.when(F.col("check").isin("image-without-alt", "image-empty-alt-not-decorative"), F.col("src")).when(F.col("check") == "image-alt-placeholder", F.concat(quoted, F.lit(" ("), found["rule"], F.lit(")"))).otherwise(quoted)
-    rows = images.withColumn("check", check).filter("check is not null")
-    return _find(rows, F.col("check"), detail)
 
+    def judged(x: Column) -> Column:
+        alt, src = x["alt"], x["src"]
+        quoted = F.concat(src, F.lit(": '"), alt, F.lit("'"))
+        found = alttext.problem(alt, limit=None)
+        return (
+            F.when(~x["has_alt"], _found("image-without-alt", src)).when((squeeze(alt) == "") & ~x["decorative"], _found("image-empty-alt-not-decorative", src))
+            .when(alttext.is_file_name(alt, src), _found("image-alt-is-file-name", quoted))
+            .when(~x["decorative"] & found.isNotNull(), _found(F.concat(F.lit("image-alt-"), found["kind"]), F.when(found["kind"] == "placeholder", F.concat(quoted, F.lit(" ("), found["rule"], F.lit(")"))).otherwise(quoted)))
+        )
 
-def link_label_rules(facts: DataFrame) -> DataFrame:
-    rows = facts.select("name", F.inline("labeled_links"))
-    shown = F.col("text").rlike(r"[\p{L}\p{N}]") & ~F.contains(F.lower(squeeze("label")), F.lower("text"))
-    return _find(rows.filter(shown), "link-label-without-text", F.concat(F.lit("'"), F.substring("text", 1, 60), F.lit("' named '"), F.substring("label", 1, 80), F.lit("'")))
+    return [F.array_compact(F.transform("images", judged))]
 
 
-def heading_rules(facts: DataFrame) -> DataFrame:
-    """Empty headings, and levels skipped against the heading just before (the array's own order, no window)."""
-    rows = facts.select("name", F.col("headings").alias("h"), F.posexplode("headings").alias("pos", "x")).select("name", F.when(F.col("pos") > 0, F.get("h", F.col("pos") - 1)["level"]).alias("last"), "x.level", "x.text")
-    empty = _find(rows.filter("text = ''"), "empty-heading", F.format_string("h%d", "level"))
-    return empty.unionByName(_find(rows.filter("last is not null and level > last + 1"), "heading-skips-level", F.format_string("h%d to h%d: %s", "last", "level", "text")))
+def link_label_rules() -> list[Column]:
+    shown = lambda x, i: x["text"].rlike(r"[\p{L}\p{N}]") & ~F.contains(F.lower(squeeze(x["label"])), F.lower(x["text"]))
+    return [_each("labeled_links", shown, "link-label-without-text", lambda x, i: F.concat(F.lit("'"), F.substring(x["text"], 1, 60), F.lit("' named '"), F.substring(x["label"], 1, 80), F.lit("'")))]
 
 
-def table_rules(facts: DataFrame) -> DataFrame:
+def heading_rules() -> list[Column]:
+    """Empty headings, and levels skipped against the heading just before."""
+    h = F.col("headings")
+    last = lambda i: F.get(h, i - 1)["level"]
+    return [
+        _each("headings", lambda x, i: x["text"] == "", "empty-heading", lambda x, i: F.format_string("h%d", x["level"])),
+        _each("headings", lambda x, i: (i > 0) & (x["level"] > last(i) + 1), "heading-skips-level", lambda x, i: F.format_string("h%d to h%d: %s", last(i), x["level"], x["text"])),
+    ]
+
+
+def table_rules() -> list[Column]:
     """Layout tables are passed over but counted."""
-    rows = facts.select("name", F.posexplode("tables").alias("pos", "t")).select("name", F.format_string("table %d", F.col("pos") + 1).alias("which"), "t.*").filter(~F.coalesce(F.col("role").isin(*LAYOUT_ROLES), F.lit(False)))
-    formulas = facts.select("name", F.inline("formula_headers"))
-    parts = [
-        _find(rows.filter("not has_th and not has_caption"), "table-without-headers-or-caption", F.col("which")),
-        _find(rows.filter("has_th and not has_td"), "table-without-data-cells", F.col("which")),
-        _find(rows.filter("wrapped = false"), "table-not-in-scroll-region", F.col("which")),
-        _find(formulas, "table-header-is-formula", F.when(F.col("tex") != "", F.format_string("table %d: %s", "tbl", "tex")).otherwise(F.format_string("table %d", "tbl"))),
+    data = lambda x: ~F.coalesce(x["role"].isin(*LAYOUT_ROLES), F.lit(False))
+    which = lambda x, i: F.format_string("table %d", i + 1)
+    return [
+        _each("tables", lambda x, i: data(x) & ~x["has_th"] & ~x["has_caption"], "table-without-headers-or-caption", which),
+        _each("tables", lambda x, i: data(x) & x["has_th"] & ~x["has_td"], "table-without-data-cells", which),
+        _each("tables", lambda x, i: data(x) & (x["wrapped"] == F.lit(False)), "table-not-in-scroll-region", which),
+        _each("formula_headers", lambda x, i: F.lit(True), "table-header-is-formula", lambda x, i: F.when(x["tex"] != "", F.format_string("table %d: %s", x["tbl"], x["tex"])).otherwise(F.format_string("table %d", x["tbl"]))),
     ]
-    return reduce(DataFrame.unionByName, parts)
+
+
+RULES = (document_rules, id_rules, image_rules, link_label_rules, heading_rules, table_rules)
 
 
 def check_pages(facts: DataFrame) -> DataFrame:
     """All rules of single pages as (where, check, detail)."""
-    return reduce(DataFrame.unionByName, [rule(facts) for rule in (document_rules, id_rules, image_rules, link_label_rules, heading_rules, table_rules)])
+    every = F.concat(*[part for rule in RULES for part in rule()])
+    return facts.select(F.col("name").alias("where"), F.inline(every))
 
 
 def check_shared_alt(facts: DataFrame, digests: DataFrame | None = None) -> DataFrame:
@@ -95,7 +110,7 @@ def check_shared_alt(facts: DataFrame, digests: DataFrame | None = None) -> Data
     good = good.join(digests, "src", "left").withColumn("identity", F.coalesce("digest", "src")) if digests is not None else good.withColumn("identity", F.col("src"))
     found = alttext.shared(good, "alt", "identity").groupBy("name", "src").agg(F.min("alt").alias("alt"), F.max("others").alias("others"))
     text = F.format_string("%s: '%s' (shared with %d other image%s)", "src", "alt", "others", F.when(F.col("others") == 1, "").otherwise("s"))
-    return _find(found, "image-alt-shared", text)
+    return found.select(F.col("name").alias("where"), F.lit("image-alt-shared").alias("check"), text.alias("detail"))
 
 
 def is_external(href: Column) -> Column:

@@ -145,7 +145,7 @@ def read_pages(pages: DataFrame, name_col: str = "url", html_col: str = "html",
     return rows.mapInPandas(run, FACTS)
 
 
-def html_language(pages: DataFrame, html_col: str = "html") -> F.Column:
+def html_language(html_col: str = "html") -> F.Column:
     """The body's language before the html element's, without a parse."""
     get = lambda tag: F.nullif(F.regexp_extract(F.col(html_col), rf"(?i)<{tag}\b[^>]*?\blang\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit(""))
     return F.coalesce(get("body"), get("html"))

@@ -45,6 +45,6 @@ def watch(spark: SparkSession, folder: str, schema: str, check: Callable[[DataFr
     """Run ``check`` over each micro-batch of new parquet files and append to ``out``; batches written twice are told apart by number."""
 
     def each(batch: DataFrame, number: int) -> None:
-        check(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        check(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(availableNow=True).start()
