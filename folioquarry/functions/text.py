@@ -29,6 +29,11 @@ def _c(x: Text) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """body(value), the value computed once and named once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(x: Text) -> Column:
     """White space of any kind as single spaces, none at the ends."""
     return F.trim(F.regexp_replace(F.coalesce(_c(x), F.lit("")), SPACE, " "))

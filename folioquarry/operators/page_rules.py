@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioquarry.functions.text import EXTERNAL, squeeze
+from folioquarry.functions.text import EXTERNAL, let, squeeze
 from folioquarry.operators import alttext
 from folioquarry.sources.pages import LAYOUT_ROLES
 
@@ -57,11 +57,10 @@ def image_rules() -> list[Column]:
     def judged(x: Column) -> Column:
         alt, src = x["alt"], x["src"]
         quoted = F.concat(src, F.lit(": '"), alt, F.lit("'"))
-        found = alttext.problem(alt, limit=None)
+        says = lambda p: F.when(p.isNotNull(), _found(F.concat(F.lit("image-alt-"), p["kind"]), F.when(p["kind"] == "placeholder", F.concat(quoted, F.lit(" ("), p["rule"], F.lit(")"))).otherwise(quoted)))
         return (
             F.when(~x["has_alt"], _found("image-without-alt", src)).when((squeeze(alt) == "") & ~x["decorative"], _found("image-empty-alt-not-decorative", src))
-            .when(alttext.is_file_name(alt, src), _found("image-alt-is-file-name", quoted))
-            .when(~x["decorative"] & found.isNotNull(), _found(F.concat(F.lit("image-alt-"), found["kind"]), F.when(found["kind"] == "placeholder", F.concat(quoted, F.lit(" ("), found["rule"], F.lit(")"))).otherwise(quoted)))
+            .when(alttext.is_file_name(alt, src), _found("image-alt-is-file-name", quoted)).when(~x["decorative"], let(alttext.problem(alt, limit=None), says))
         )
 
     return [F.array_compact(F.transform("images", judged))]
