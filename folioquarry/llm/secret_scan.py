@@ -45,14 +45,13 @@ def window_entropy(text: str, window: int = WINDOW) -> float:
     cost = [0.0, *[n * math.log2(n) for n in range(1, window + 1)]]
     total, best = 0.0, 0.0
     for i, c in enumerate(text):
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        total += cost[n + 1] - cost[n] if n < window else 0.0
         if i >= window:
-            old = text[i - window]
-            n = counts[old]
+            n = counts[old := text[i - window]]
             counts[old] = n - 1
             total += cost[n - 1] - cost[n]
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        total += cost[n + 1] - cost[n]
         if i >= window - 1:
             best = max(best, math.log2(window) - total / window)
     return best
@@ -60,8 +59,7 @@ def window_entropy(text: str, window: int = WINDOW) -> float:
 
 def high_entropy(text: str) -> bool:
     """Whether a candidate is of mixed characters, not allowed, and has a window with its class's entropy."""
-    digits = sum(c.isdigit() for c in text)
-    if digits < 3 or digits == len(text) or any(a.fullmatch(text) for a in ALLOWED):
+    if not any(c.isdigit() for c in text) or any(a.fullmatch(text) for a in ALLOWED):
         return False
     return next(window_entropy(text) >= least for _, form, least in CLASSES if form.fullmatch(text))
 

@@ -58,7 +58,7 @@ def fingerprints(df: DataFrame, keep: list[str], words: str = "w", marker: bool
 
 def _short(df: DataFrame, keep: list[str], lengths: list[int], words: str = "w") -> DataFrame:
     """keep, fp and pos of every run of as many words as one of ``lengths``."""
-    runs = F.concat(*[F.transform(_grams(F.col(words), k), lambda h, i, k=k: F.struct(h.alias("fp"), i.cast("int").alias("pos"))) for k in lengths])
+    runs = F.concat(*[F.transform(_grams(F.col(words), k), lambda h, i: F.struct(h.alias("fp"), i.cast("int").alias("pos"))) for k in lengths])
     return df.select(*keep, F.explode(runs).alias("r")).select(*keep, "r.fp", "r.pos")
 
 
@@ -117,10 +117,11 @@ def _short_items(items: DataFrame, lengths: list[int]) -> DataFrame:
 
 def _by_shuffle(left: DataFrame, right: DataFrame, rows: DataFrame) -> DataFrame:
     """What the broadcast join gives, for large benchmarks: fingerprints alone are shuffled, then hits meet their documents."""
-    pairs = left.filter("fp is not null").join(right, "fp").select("id", "text_hash", "fp", F.col("pos"), "q", "item", "iw")
-    hits = pairs.groupBy("id", "text_hash", "item", (F.col("pos") - F.col("q")).alias("pos")).agg(F.first("iw").alias("iw"), F.first("fp").alias("fp")).withColumn("q", F.lit(0))
+    pairs = left.filter("fp is not null").join(right, "fp").select("id", "text_hash", "fp", (F.col("pos") - F.col("q")).alias("pos"), "item", "iw")
+    hits = pairs.groupBy(F.col("id").alias("d"), F.col("text_hash").alias("t"), "item", "pos").agg(F.first("iw").alias("iw"), F.first("fp").alias("fp")).withColumn("q", F.lit(0))
     texts = rows.dropDuplicates(["id", "text_hash"])
-    back = hits.join(texts, [F.col("id").eqNullSafe(texts["id"]), hits["text_hash"] == texts["text_hash"]]).select(hits["id"], hits["text_hash"], "fp", "pos", "q", "item", "iw", "w")
-    marks = left.filter("fp is null").select("id", "text_hash")
-    sizes = rows.groupBy("id", "text_hash").agg(F.first("w").alias("w"))
-    return back.unionByName(marks.join(sizes, [marks["id"].eqNullSafe(sizes["id"]), marks["text_hash"] == sizes["text_hash"]]).select(marks["id"], marks["text_hash"], "w"), allowMissingColumns=True)
+    same = F.col("id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
+    columns = ["id", "text_hash", "w", "fp", "pos", "q", "item", "iw"]
+    back = hits.join(texts, same).select(columns)
+    marks = rows.select(*columns[:3], F.lit(None).cast("long").alias("fp"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("q"), F.lit(None).cast("string").alias("item"), F.lit(None).cast("array<string>").alias("iw"))
+    return back.unionByName(marks)
