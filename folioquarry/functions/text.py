@@ -19,7 +19,7 @@ FRONT_WORDS = ("frontmatter", "preamble", "preface", "foreword", "titlepage", "a
 BACK_WORDS = ("notes", "index", "references", "bibliography", "glossary", "solutions", "appendix", "backmatter", "colophon")
 NO_LANGUAGE = ("zxx", "und", "mul", "mis")
 TRUE_WORDS, FALSE_WORDS = ("true", "yes", "on", "1"), ("false", "no", "off", "0")
-UNIT_INCHES = {"in": 1.0, "cm": 1 / 2.54, "mm": 1 / 25.4, "pt": 1 / 72, "pc": 1 / 6, "px": 1 / 96}
+PER_INCH = {"in": 1.0, "cm": 2.54, "mm": 25.4, "pt": 72.0, "pc": 6.0, "px": 96.0}
 WORD_FLOOR = 5
 
 Text = Column | str
@@ -164,10 +164,10 @@ def looks_like_sentence(x: Text, labels: tuple[str, ...] = ("Figure", "Table", "
 def to_inches(x: Text) -> Column:
     number = F.regexp_extract(F.lower(F.trim(_c(x))), r"^(\d+(?:\.\d+)?|\.\d+)(in|cm|mm|pt|pc|px)?$", 1)
     unit = F.regexp_extract(F.lower(F.trim(_c(x))), r"^(\d+(?:\.\d+)?|\.\d+)(in|cm|mm|pt|pc|px)?$", 2)
-    scale = F.lit(UNIT_INCHES["px"])
-    for name, value in UNIT_INCHES.items():
+    scale = F.lit(PER_INCH["px"])
+    for name, value in PER_INCH.items():
         scale = F.when(unit == name, value).otherwise(scale)
-    return number.try_cast("double") * scale
+    return number.try_cast("double") / scale
 
 
 def tag(x: Text) -> Column:

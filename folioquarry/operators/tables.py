@@ -91,8 +91,8 @@ def blank_corner_matrix(grid: Column) -> Column:
 
 
 def label_value(grid: Column, longest: int = 40) -> Column:
-    """Two columns: a short label, and a longer text or an amount."""
-    pair = lambda r: (F.length(F.get(texts(r), F.lit(0))).between(1, longest)) & (is_amount(F.get(texts(r), F.lit(1))) | (F.length(F.get(texts(r), F.lit(1))) > F.length(F.get(texts(r), F.lit(0)))))
+    """Two columns: a short label that is no amount, and a longer text or an amount."""
+    pair = lambda r: F.length(F.get(texts(r), F.lit(0))).between(1, longest) & ~is_amount(F.get(texts(r), F.lit(0))) & (is_amount(F.get(texts(r), F.lit(1))) | (F.length(F.get(texts(r), F.lit(1))) > F.length(F.get(texts(r), F.lit(0)))))
     return (F.size(grid) > 0) & F.forall(grid, lambda r: (F.size(r) == 2) & F.coalesce(pair(r), F.lit(False)))
 
 
