@@ -317,9 +317,9 @@ def csv_guard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", t.guarded(value).alias("cell"), t.unguarded(t.guarded(value)).alias("back"))
 
 
-@query("SELECT p_brand AS src, max(p_size) AS shown, max(CAST(p_retailprice AS INT)) AS pixels, max(CAST(p_retailprice AS INT)) > max(p_size) * 2.0 AS too_wide FROM part GROUP BY p_brand")
+@query("SELECT p_brand AS src, max(p_size) AS shown, max(CAST(floor(p_retailprice) AS INT)) AS pixels, max(CAST(floor(p_retailprice) AS INT)) > max(p_size) * 2.0 AS too_wide FROM part GROUP BY p_brand")
 def downsample_widest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decks.widest(table(spark, sf_dir, "part").select(F.col("p_brand").alias("src"), F.col("p_size").alias("shown"), F.round("p_retailprice").cast("int").alias("pixels")))
+    return decks.widest(table(spark, sf_dir, "part").select(F.col("p_brand").alias("src"), F.col("p_size").alias("shown"), F.floor("p_retailprice").cast("int").alias("pixels")))
 
 
 @query("""SELECT n_nationkey, chr(65 + n_nationkey) AS letter, CASE WHEN n_name LIKE '%--%' THEN split_part(n_name, '--', 1) END AS piece_source, CASE WHEN regexp_matches(lower(n_name), '(^|[^a-z0-9])(notes|index)($|[^a-z0-9])') THEN 'back' ELSE 'middle' END AS role FROM nation""")
