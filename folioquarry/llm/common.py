@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,22 +17,37 @@ from pyspark.sql import types as T
 BATCH_BYTES = 2_000_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the folder that ``spark.checkpoint.dir`` names, which survive lost executors.
-
-    Only where the setting is unset (tests on one machine) a temporary folder is used.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir", "") and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only if unset."""
     return spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="shared-")
 
 
+class Scratch:
+    """Tables written to the shared folder and read back: they cut lineage and survive lost executors.
+
+    checkpoint() would keep the estimated sizes of the plan it cuts, which multiply with each join of an
+    iteration; a table that is read has the size of its files.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.paths += 1
+        path = f"{self.folder}/{self.paths}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.scratch_path = path
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables that nothing reads any more."""
+        for t in tables:
+            if t is not None and hasattr(t, "scratch_path"):
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batch: pa.RecordBatch, text: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts have at most ``limit`` bytes together, one row at least."""
     sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -22,11 +22,11 @@ import hashlib
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioquarry.llm.common import Words, checkpointed, mixed, over_texts, word_hashes
+from folioquarry.llm.common import Scratch, Words, mixed, over_texts, word_hashes
 
 SHINGLE, BANDS, ROWS = 5, 42, 6
 COORDINATES = BANDS * ROWS
@@ -174,37 +174,41 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.filter(common >= threshold * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """id and root (one vertex of its component) of every vertex, by rounds of contraction.
 
-    Each vertex goes to the neighbour of least hash, salted by the round, unless its own is less; edges between
-    what is left go on.  Every round removes an expected constant share of the vertices.
+    Each vertex goes to the neighbour of least hash unless its own is less; edges between what is left go on.
+    A star collapses in two rounds; the hash is salted anew every second round, so that each pair of rounds
+    removes an expected constant share of the vertices of any graph.
     """
-    edges, known, salt = checkpointed(edges.distinct()), None, 0
+    edges, known, turn = scratch.put(edges.distinct()), None, 0
     while not edges.isEmpty():
-        ways = edges.union(edges.select("b", "a"))
-        order = lambda c: F.struct(F.xxhash64(F.lit(salt), c).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
-        least = ways.groupBy("a").agg(F.min(order("b")).alias("m"))
-        goes = checkpointed(least.select(F.col("a").alias("v"), F.least(F.col("m"), order("a"))["v"].alias("to")))
-        known = goes.select(F.col("v").alias("id"), F.col("to").alias("root")) if known is None else known.join(goes, known["root"] == goes["v"], "left").select("id", F.coalesce("to", "root").alias("root"))
-        known = checkpointed(known)
+        order = lambda c: F.struct(F.xxhash64(F.lit(turn // 2), c).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
+        least = edges.union(edges.select("b", "a")).groupBy("a").agg(F.min(order("b")).alias("m"))
+        goes = scratch.put(least.select(F.col("a").alias("v"), F.least(F.col("m"), order("a"))["v"].alias("to")))
+        now = goes.select(F.col("v").alias("id"), F.col("to").alias("root"))
+        if known is not None:
+            now = known.join(goes, known["root"] == goes["v"], "left").select("id", F.coalesce("to", "root").alias("root"))
+        now = scratch.put(now)
         ends = edges.join(goes.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").join(goes.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
-        edges = checkpointed(ends.filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-        salt += 1
+        left = scratch.put(ends.filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        scratch.drop(edges, known, goes)
+        edges, known, turn = left, now, turn + 1
     return known if known is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, weighted: bool = False) -> DataFrame:
     """id_col, class_id (the smallest id of the class) and is_first for every row."""
-    rows = checkpointed(sketch(docs, id_col, text_col, weighted))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.put(sketch(docs, id_col, text_col, weighted))
     texts = rows.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"))
     mine = rows.filter("size(bands) > 0").join(texts.select("digest", "id"), ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"])
     members = mine.select("id", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = checkpointed(members.join(shared, "band"))  # only those that share a band
-    sets = checkpointed(_sets(docs, id_col, text_col, members.select("id").distinct()).dropDuplicates(["id"]))
-    links = checkpointed(similar(members.filter("lead != id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), sets, threshold))
-    roots = components(links)
+    members = scratch.put(members.join(shared, "band"))  # only those that share a band
+    sets = scratch.put(_sets(docs, id_col, text_col, members.select("id").distinct()).dropDuplicates(["id"]))
+    links = scratch.put(similar(members.filter("lead != id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), sets, threshold))
+    roots = components(links, scratch)
     ranked, low, lead = None, 0, LEADERS
     while True:
         source = members.select("id", "band") if ranked is None else ranked
@@ -213,21 +217,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         open_bands = open_bands.filter("r != s" + ("" if ranked is None else f" and top >= {low}")).select("band")
         now = now.join(open_bands, "band", "left_semi")
         if ranked is None:  # members of the bands that are still open, in order
-            from pyspark.sql import Window
-
-            ranked = checkpointed(now.select("id", "band", (F.row_number().over(Window.partitionBy("band").orderBy("id")) - 1).alias("rank")))
-            now = ranked.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        now = checkpointed(now.select("id", "band", "rank", "root"))
+            now = now.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("id")) - 1)
+        old, now = ranked, scratch.put(now.select("id", "band", "rank", "root"))
+        scratch.drop(old)
         if now.isEmpty():
             break
         leads = now.filter(F.col("rank").between(low, low + lead - 1)).select("band", F.col("id").alias("a"), F.col("rank").alias("i"), F.col("root").alias("x"))
         pairs = now.join(leads, "band").filter("root != x and rank > i").select("a", F.col("id").alias("b")).distinct()
-        more = checkpointed(similar(pairs, sets, threshold))
+        more = scratch.put(similar(pairs, sets, threshold))
         if not more.isEmpty():
-            links = checkpointed(links.union(more))
-            roots = components(links)
+            # classes so far and the links between them: as many rows as vertices, however many links there were
+            new_roots = components(roots.filter("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")).union(more), scratch)
+            scratch.drop(roots)
+            roots = new_roots
+        scratch.drop(more)
         low, lead = low + lead, lead * 2
-        ranked = now.select("id", "band", "rank")
+        ranked = now.drop("root")
+        ranked.scratch_path = now.scratch_path
+    scratch.drop(members, sets, links, now)
     first = roots.join(roots.groupBy("root").agg(F.min("id").alias("class_id")), "root").select("id", "class_id")
     of_text = texts.join(first, "id", "left").select("digest", F.coalesce("class_id", "id").alias("class_id"))
     out = rows.select("id", "digest").join(of_text, "digest", "left")
