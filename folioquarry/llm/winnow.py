@@ -88,7 +88,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         if small:
             part = left.join(F.broadcast(right), "fp", "left").filter("fp is null or item is not null")
         else:
-            part = _by_shuffle(left.drop("w"), right, rows)
+            part = _by_shuffle(left.drop("w"), right, rows, marks=found is None)
         # no filter uses the comparison below: such a filter would leave code generation and copy the words of every row
         part = part.select(*key, F.when(F.col("fp").isNull(), F.size("w")).alias("n_words"), "item", F.when(F.col("item").isNotNull(), _hits(F.col("w"), F.col("iw"), F.col("pos") - F.col("q"))).alias("places"))
         found = part if found is None else found.unionByName(part)
@@ -115,7 +115,7 @@ def _short_items(items: DataFrame, lengths: list[int]) -> DataFrame:
     return items.select("item", "iw", fp.alias("fp"), F.lit(0).alias("pos"))
 
 
-def _by_shuffle(left: DataFrame, right: DataFrame, rows: DataFrame) -> DataFrame:
+def _by_shuffle(left: DataFrame, right: DataFrame, rows: DataFrame, marks: bool) -> DataFrame:
     """What the broadcast join gives, for large benchmarks: fingerprints alone are shuffled, then hits meet their documents."""
     pairs = left.filter("fp is not null").join(right, "fp").select("id", "text_hash", "fp", (F.col("pos") - F.col("q")).alias("pos"), "item", "iw")
     hits = pairs.groupBy(F.col("id").alias("d"), F.col("text_hash").alias("t"), "item", "pos").agg(F.first("iw").alias("iw"), F.first("fp").alias("fp")).withColumn("q", F.lit(0))
@@ -123,5 +123,7 @@ def _by_shuffle(left: DataFrame, right: DataFrame, rows: DataFrame) -> DataFrame
     same = F.col("id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
     columns = ["id", "text_hash", "w", "fp", "pos", "q", "item", "iw"]
     back = hits.join(texts, same).select(columns)
-    marks = rows.select(*columns[:3], F.lit(None).cast("long").alias("fp"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("q"), F.lit(None).cast("string").alias("item"), F.lit(None).cast("array<string>").alias("iw"))
-    return back.unionByName(marks)
+    if not marks:
+        return back
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("fp", "long"), ("pos", "int"), ("q", "int"), ("item", "string"), ("iw", "array<string>"))]
+    return back.unionByName(rows.select(*columns[:3], *none))
