@@ -19,7 +19,7 @@ BATCH_BYTES = 2_000_000
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only if unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="shared-")
+    return spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="shared-")
 
 
 class Scratch:
