@@ -56,19 +56,25 @@ COMMON = 0.35
 
 
 def build_index(templates: list[tuple[str, str, list[str]]] = TEMPLATES, rare: int = RARE) -> list[dict]:
-    """A row for each rare word of each template: word, label, its place q, all rare words with weight and place, key words with place."""
+    """A row for each rare word of each template: word, label, its place q, all rare words with weight and place, key words with place.
+
+    Words of one or two letters are taken only where a template has no longer rare word, and common ones only where it has no rare word at all.
+    """
     split = [t[1].split() for t in templates]
     frequency = Counter(w for ws in split for w in set(ws))
     idf = {w: math.log(len(templates) / n) for w, n in frequency.items()}
     rows = []
     for (label, text, phrases), ws in zip(templates, split, strict=True):
-        ranked = sorted({w for w in ws if frequency[w] <= COMMON * len(templates) and len(w) > 2}, key=lambda w: (-idf[w], ws.index(w)))[:rare]
+        few = {w for w in ws if frequency[w] <= COMMON * len(templates)}
+        ranked = sorted({w for w in few if len(w) > 2} or few or set(ws), key=lambda w: (-idf[w], ws.index(w)))[:rare]
         places = [(i, w) for i, w in enumerate(ws) if w in ranked]
         keys = []
         for p in phrases:
             at = re.search(rf"(?:^|(?<= )){re.escape(p)}(?= |$)", text).start()
             keys += [(text[:at].count(" ") + j, w) for j, w in enumerate(p.split())]
         weight = sum(idf[w] for _, w in places)
+        if not weight:
+            raise ValueError(f"no word tells this template from the others: {text!r}")
         for q, w in places:
             rows.append({"word": w, "label": label, "q": q, "rare": [{"place": i, "word": x, "weight": idf[x] / weight} for i, x in places], "keys": [{"place": i, "word": x} for i, x in keys]})
     return rows
