@@ -194,8 +194,8 @@ def features(page: Page) -> list[list[int]]:
             f"tag size {tag} {min(8, size.bit_length() // 2)}",
         ]
         if page.attrs[i]:
-            names += [f"word {w}" for w in set(re.findall(r"[a-z]{2,}", re.sub(r"([a-z])([A-Z])", r"\1 \2", page.attrs[i]).lower()))]
-        out.append([zlib.crc32(x.encode()) % SLOTS for x in names[:16]])
+            names += [f"word {w}" for w in sorted(set(re.findall(r"[a-z]{2,}", re.sub(r"([a-z])([A-Z])", r"\1 \2", page.attrs[i]).lower())))]
+        out.append([zlib.crc32(x.encode()) % SLOTS for x in names])
     return out
 
 

@@ -1,8 +1,12 @@
 """The training-data operators read all of their input: one test for each cut that was removed."""
 
+import random
+import re
+import zlib
+
 import pytest
 
-from folioquarry.llm import license_index
+from folioquarry.llm import html_tree, license_index
 
 
 def test_every_licence_template_is_found_by_its_own_text(spark):
@@ -18,3 +22,28 @@ def test_no_licence_template_is_left_out_of_the_index():
     assert {r["label"] for r in license_index.build_index([("x", "by a to", ["by a"]), ("y", "by a so", ["by a"])])} == {"x", "y"}
     with pytest.raises(ValueError, match="same words"):
         license_index.build_index([("x", "same words", ["same"]), ("y", "same words", ["words"])])
+
+
+def test_all_attribute_words_of_a_node_are_features():
+    words = [f"w{chr(97 + i)}" for i in range(20)]
+    page = html_tree.Page(f'<div class="{" ".join(words)} sidebar" style="margin: 0">x</div>')
+    got = html_tree.features(page)[1]
+    assert {zlib.crc32(f"word {w}".encode()) % html_tree.SLOTS for w in [*words, "class", "sidebar", "style", "margin"]} <= set(got)
+    assert len(got) == 9 + len(words) + 4
+
+
+@pytest.mark.parametrize("n", [5, 20])
+def test_main_text_of_pages_with_many_classes(n):
+    rng = random.Random(3)
+    fill = "flex grid col row mt mb px py bg rounded shadow border hover focus active dark light sm md lg xl inner outer block item theme clearfix fade lazy js has gap order align relative absolute visible display font size".split()
+
+    def crowd(m):
+        names = [*rng.sample(fill, n), m[2]]
+        rng.shuffle(names)
+        return f'{m[1]}="{" ".join(names)}" style="margin: 0; padding: 1px"'
+
+    made = [(re.sub(r'\b(class|id|role)="([^"]*)"', crowd, s), kept) for s, kept in html_tree.labelled_pages(seed=77, n=80)]
+    exact = 0
+    for (source, kept), got in zip(made, html_tree.extract(html_tree.default_model(), [s for s, _ in made]), strict=True):
+        exact += [t for _, t in html_tree.Page(source).blocks if t in kept] == (got.split("\n") if got else [])
+    assert exact / len(made) > 0.9
