@@ -123,8 +123,7 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def text_problem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.split_part("text", F.lit("\n"), F.lit(1))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", alttext.problem(first).alias("p")).select("conv_id", "turn", F.col("p.kind").alias("kind"), F.col("p.rule").alias("rule"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", alttext.problem(F.col("text")).alias("p")).select("conv_id", "turn", F.col("p.kind").alias("kind"), F.col("p.rule").alias("rule"))
 
 
 @query("""WITH c AS (SELECT doc_id, lower(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), '[\\s.!?;:,]+$', '')) AS x FROM documents),
