@@ -11,7 +11,8 @@ are shuffled by fingerprint and the hits go back to their documents by a second
 
 Defined results: null and empty texts have no words and are clean; items without words are left out; rows
 that repeat give one result each; an empty benchmark leaves all documents clean; an item id that repeats
-counts once; only the named columns are read, so further ones cannot clash.
+counts once, whatever its texts, all of which are compared; items without an id count as one more item, which
+has no name in ``items``; only the named columns are read, so further ones cannot clash.
 """
 
 from __future__ import annotations
@@ -86,16 +87,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     for left, right in sides:
         right = right.select("fp", F.col("pos").alias("q"), "item", "iw")
         if small:
-            part = left.join(F.broadcast(right), "fp", "left").filter("fp is null or item is not null")
+            part = left.join(F.broadcast(right), "fp", "left").filter("fp is null or iw is not null")
         else:
             part = _by_shuffle(left.drop("w"), right, rows, marks=found is None)
         # no filter uses the comparison below: such a filter would leave code generation and copy the words of every row
-        part = part.select(*key, F.when(F.col("fp").isNull(), F.size("w")).alias("n_words"), "item", F.when(F.col("item").isNotNull(), _hits(F.col("w"), F.col("iw"), F.col("pos") - F.col("q"))).alias("places"))
+        part = part.select(*key, F.when(F.col("fp").isNull(), F.size("w")).alias("n_words"), "item", F.when(F.col("iw").isNotNull(), _hits(F.col("w"), F.col("iw"), F.col("pos") - F.col("q"))).alias("places"))
         found = part if found is None else found.unionByName(part)
     per = found.groupBy(*key).agg(
         F.max("n_words").alias("n_words"),
         F.count("n_words").alias("copies"),
         F.array_sort(F.collect_set(F.when(F.size("places") > 0, F.col("item")))).alias("items"),
+        F.max(F.when(F.size("places") > 0, F.col("item").isNull().cast("int"))).alias("unnamed"),
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_hit"),
     )
     per = per.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
@@ -103,7 +105,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.col("id").alias(id_col),
         F.col("n_words").cast("long"),
         F.col("n_hit").cast("long"),
-        F.size("items").cast("long").alias("n_items"),
+        (F.size("items") + F.coalesce("unnamed", F.lit(0))).cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
         "items",
@@ -117,8 +119,9 @@ def _short_items(items: DataFrame, lengths: list[int]) -> DataFrame:
 
 def _by_shuffle(left: DataFrame, right: DataFrame, rows: DataFrame, marks: bool) -> DataFrame:
     """What the broadcast join gives, for large benchmarks: fingerprints alone are shuffled, then hits meet their documents."""
-    pairs = left.filter("fp is not null").join(right, "fp").select("id", "text_hash", "fp", (F.col("pos") - F.col("q")).alias("pos"), "item", "iw")
-    hits = pairs.groupBy(F.col("id").alias("d"), F.col("text_hash").alias("t"), "item", "pos").agg(F.first("iw").alias("iw"), F.first("fp").alias("fp")).withColumn("q", F.lit(0))
+    right = right.withColumn("item_hash", F.xxhash64("iw"))  # an id may have several texts, or be null
+    pairs = left.filter("fp is not null").join(right, "fp").select("id", "text_hash", "fp", (F.col("pos") - F.col("q")).alias("pos"), "item", "item_hash", "iw")
+    hits = pairs.groupBy(F.col("id").alias("d"), F.col("text_hash").alias("t"), "item", "item_hash", "pos").agg(F.first("iw").alias("iw"), F.first("fp").alias("fp")).withColumn("q", F.lit(0))
     texts = rows.dropDuplicates(["id", "text_hash"])
     same = F.col("id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
     columns = ["id", "text_hash", "w", "fp", "pos", "q", "item", "iw"]

@@ -4,9 +4,10 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 
-from folioquarry.llm import html_tree, license_index
+from folioquarry.llm import html_tree, license_index, oracle, winnow
 
 
 def test_every_licence_template_is_found_by_its_own_text(spark):
@@ -47,3 +48,22 @@ def test_main_text_of_pages_with_many_classes(n):
     for (source, kept), got in zip(made, html_tree.extract(html_tree.default_model(), [s for s, _ in made]), strict=True):
         exact += [t for _, t in html_tree.Page(source).blocks if t in kept] == (got.split("\n") if got else [])
     assert exact / len(made) > 0.9
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_items_with_repeated_and_null_ids(spark, broadcast):
+    w = lambda letter, n, low=0: [f"{letter}{i}" for i in range(low, low + n)]
+    d = w("d", 20)
+    items = [(1, d[:10] + w("x", 10)), (1, w("y", 10) + d[10:]), (2, ["s1", "s2"]), (2, ["s1", "s2", "s3"]), (None, w("n", 12)), (None, w("m", 3)), (3, w("n", 12))]
+    docs = [(1, d), (2, ["q", "s1", "s2", "s3"]), (3, ["q", *w("n", 12), "q"]), (4, w("m", 3)), (5, w("n", 10, 1) + w("m", 3) + d), (6, ["q"]), (7, [])]
+    items, docs = ([(i, " ".join(t)) for i, t in rows] for rows in (items, docs))
+    con = duckdb.connect()
+    for name, key, rows in (("benchmark", "item_id", items), ("documents", "doc_id", docs)):
+        con.execute(f"create table {name} ({key} bigint, text varchar)")
+        con.executemany(f"insert into {name} values (?, ?)", rows)
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    want = sorted(con.sql(oracle.SQL["op6_winnowing"]).select(*columns).fetchall())
+    got = winnow.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_words=broadcast)
+    assert sorted(map(tuple, got.select(*columns).collect())) == want
+    assert [r[2] for r in want] == [20, 3, 12, 3, 33, 0, 0]
+    assert {r.doc_id: r["items"] for r in got.collect()} == {1: ["1"], 2: ["2"], 3: ["3"], 4: [], 5: ["1", "3"], 6: [], 7: []}
