@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,14 +67,13 @@ def pieces_by_source(pages: DataFrame, stem: str = "stem", part: str = "part") -
     return pages.groupBy(source.alias("source")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(part).alias("p"), F.col(stem).alias("s")))), lambda x: x["s"]).alias("pieces"), F.max(F.instr(stem, "--") > 0).alias("cut"))
 
 
-def reached(edges: DataFrame, roots: DataFrame, limit: int = 60) -> DataFrame:
+def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """file and depth of all that the roots reach by (file, includes) edges, each at its least depth."""
     seen = roots.select("file", F.lit(0).alias("depth"))
     front = seen
-    for depth in range(1, limit):
+    for depth in count(1):  # ends, as each round reads only files not seen before
         nxt = front.join(edges, "file").select(F.col("includes").alias("file")).distinct().join(seen.select("file"), "file", "left_anti").withColumn("depth", F.lit(depth))
         nxt = nxt.checkpoint() if nxt.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else nxt.persist()
         if nxt.isEmpty():
-            break
+            return seen
         seen, front = seen.unionByName(nxt), nxt
-    return seen

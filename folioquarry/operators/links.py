@@ -46,11 +46,11 @@ def check_links(facts: DataFrame, files: DataFrame | None = None, strip_query: b
     return missing.unionByName(lost)
 
 
-def follow(redirects: DataFrame, limit: int = 50) -> DataFrame:
+def follow(redirects: DataFrame) -> DataFrame:
     """url and the end of its redirects; in a cycle the walk stops when it comes to an address that it has left before."""
     now = redirects.select("url", F.col("target").alias("end"), F.array("url").alias("seen"))
     step = redirects.select(F.col("url").alias("from"), F.col("target").alias("to"))
-    for _ in range(limit):
+    while True:  # ends, as no walk leaves an address twice
         nxt = now.join(step, now["end"] == step["from"], "left")
         go = F.col("to").isNotNull() & ~F.array_contains("seen", F.col("end"))
         moved = nxt.select("url", F.when(go, F.col("to")).otherwise(F.col("end")).alias("end"), F.when(go, F.concat("seen", F.array("end"))).otherwise(F.col("seen")).alias("seen"), go.alias("go"))
@@ -58,7 +58,6 @@ def follow(redirects: DataFrame, limit: int = 50) -> DataFrame:
         if moved.filter("go").isEmpty():
             return moved.select("url", "end")
         now = moved.select("url", "end", "seen")
-    return now.select("url", "end")
 
 
 def page_key(refs: DataFrame, pages: DataFrame, url_col: str = "url") -> DataFrame:
