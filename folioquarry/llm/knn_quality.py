@@ -128,14 +128,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def kernel(texts: list[str | None]) -> list[list]:
         grams, forms = counts(texts)
-        return [list(np.minimum(grams, 65535).astype("<u2").tobytes()[i * SLOTS * 2 : (i + 1) * SLOTS * 2] for i in range(len(texts))), [f.astype("<f4").tobytes() for f in forms]]
+        return [[g.astype("<u4").tobytes() for g in grams], [f.astype("<f8").tobytes() for f in forms]]
 
     fields = T.StructType([T.StructField("grams", T.BinaryType()), T.StructField("forms", T.BinaryType())])
     got = over_texts(rows, "text", kernel, fields, ["id", "label"]).toArrow().to_pandas().drop_duplicates("id").sort_values("id")
     if got.empty:
         return Model(np.zeros(SLOTS), np.zeros((SLOTS + FORMS, 1)), np.zeros((0, 1)), np.zeros(0))
-    grams = np.stack([np.frombuffer(b, "<u2") for b in got["grams"]]).astype(np.int64)
-    forms = np.stack([np.frombuffer(b, "<f4") for b in got["forms"]]).astype(float)
+    grams = np.stack([np.frombuffer(b, "<u4") for b in got["grams"]]).astype(np.int64)
+    forms = np.stack([np.frombuffer(b, "<f8") for b in got["forms"]])
     return fit(grams, forms, got["label"].to_numpy())
 
 

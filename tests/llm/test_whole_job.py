@@ -5,9 +5,10 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
-from folioquarry.llm import html_tree, license_index, oracle, winnow
+from folioquarry.llm import html_tree, knn_quality, license_index, oracle, winnow
 
 
 def test_every_licence_template_is_found_by_its_own_text(spark):
@@ -67,3 +68,11 @@ def test_items_with_repeated_and_null_ids(spark, broadcast):
     assert sorted(map(tuple, got.select(*columns).collect())) == want
     assert [r[2] for r in want] == [20, 3, 12, 3, 33, 0, 0]
     assert {r.doc_id: r["items"] for r in got.collect()} == {1: ["1"], 2: ["2"], 3: ["3"], 4: [], 5: ["1", "3"], 6: [], 7: []}
+
+
+def test_labelled_texts_get_the_vectors_that_they_are_scored_by(spark):
+    ids = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5][:6]  # none of the held-out fold
+    texts = ["abcd " * 70_000 + "a tail of other words", "a tail of other words", "One two, three", "four five six", "abcd efgh", "Seven: 8 9"]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    model = knn_quality.learn(docs, spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int"))
+    assert np.allclose(model.vectors, model.latent(*knn_quality.counts(texts)), rtol=0, atol=1e-12)
