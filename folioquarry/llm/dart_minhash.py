@@ -13,7 +13,7 @@ each band have been compared, so no candidate link is lost and no group is expan
 
 Defined results: a null text, or a row without an id, is a class of its own; texts without words belong
 together only if they are equal; a text of fewer than five words is one shingle; ties go to the smaller id;
-rows that repeat share a class; an empty table gives no rows; only the named columns are read.
+rows that repeat share a class, while texts of one id are classed each by itself; an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -155,14 +155,14 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, weighted: bool = False)
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
-    """id and set (sorted shingle hashes) of the documents with one of the ids."""
+    """id, digest and set (sorted shingle hashes) of the documents with one of the ids."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(ids, "id", "left_semi")
 
     def kernel(texts: list[str | None]) -> list[list]:
         doc, element, _ = shingles(texts)
-        return [np.split(element.view(np.int64), np.searchsorted(doc, np.arange(1, len(texts))))]
+        return [[_digest(t) for t in texts], np.split(element.view(np.int64), np.searchsorted(doc, np.arange(1, len(texts))))]
 
-    return over_texts(rows, "text", kernel, T.StructType([T.StructField("set", T.ArrayType(T.LongType()))]), ["id"])
+    return over_texts(rows, "text", kernel, T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("set", T.ArrayType(T.LongType()))]), ["id"])
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -202,11 +202,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     scratch = Scratch(docs.sparkSession)
     rows = scratch.put(sketch(docs, id_col, text_col, weighted))
     texts = rows.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"))
-    mine = rows.filter("size(bands) > 0").join(texts.select("digest", "id"), ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"])
-    members = mine.select("id", F.explode("bands").alias("band"))
+    # a vertex is a text: its smallest id, with the digest where an id has several texts
+    several = F.count("*").over(Window.partitionBy("id")) > 1
+    texts = scratch.put(texts.withColumn("vertex", F.struct("id", F.when(several, F.col("digest")).otherwise(F.lit(b"")).alias("which"))))
+    mine = rows.filter("size(bands) > 0").join(texts, ["digest", "id"]).dropDuplicates(["digest", "id"])
+    members = mine.select(F.col("vertex").alias("id"), F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = scratch.put(members.join(shared, "band"))  # only those that share a band
-    sets = scratch.put(_sets(docs, id_col, text_col, members.select("id").distinct()).dropDuplicates(["id"]))
+    sets = _sets(docs, id_col, text_col, members.select("id.id").distinct()).join(texts, ["id", "digest"]).dropDuplicates(["id", "digest"])
+    sets = scratch.put(sets.select(F.col("vertex").alias("id"), "set"))
     links = scratch.put(similar(members.filter("lead != id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), sets, threshold))
     roots = components(links, scratch)
     ranked, low, lead = None, 0, LEADERS
@@ -235,8 +239,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         ranked = now.drop("root")
         ranked.scratch_path = now.scratch_path
     scratch.drop(members, sets, links, now)
-    first = roots.join(roots.groupBy("root").agg(F.min("id").alias("class_id")), "root").select("id", "class_id")
-    of_text = texts.join(first, "id", "left").select("digest", F.coalesce("class_id", "id").alias("class_id"))
+    first = roots.join(roots.groupBy("root").agg(F.min("id.id").alias("class_id")), "root").select(F.col("id").alias("vertex"), "class_id")
+    of_text = texts.join(first, "vertex", "left").select("digest", F.coalesce("class_id", "id").alias("class_id"))
     out = rows.select("id", "digest").join(of_text, "digest", "left")
     own = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("class_id", "id"))
     return out.select(F.col("id").alias(id_col), own.alias("class_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("is_first"))

@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from folioquarry.llm import html_tree, knn_quality, license_index, oracle, winnow
+from folioquarry.llm import dart_minhash, html_tree, knn_quality, license_index, oracle, winnow
 
 
 def test_every_licence_template_is_found_by_its_own_text(spark):
@@ -76,3 +76,11 @@ def test_labelled_texts_get_the_vectors_that_they_are_scored_by(spark):
     docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
     model = knn_quality.learn(docs, spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int"))
     assert np.allclose(model.vectors, model.latent(*knn_quality.counts(texts)), rtol=0, atol=1e-12)
+
+
+def test_each_text_of_a_repeated_id_is_compared(spark):
+    text = lambda letter: " ".join(f"{letter}{i}" for i in range(60))
+    rows = [(i, text(x) + end) for x, i, end in [("a", 1, ""), ("b", 2, ""), ("c", 3, ""), ("a", 9, " x"), ("b", 9, " y"), ("c", 9, " z"), ("d", 8, ""), ("d", 7, " w"), ("e", 8, "")]]
+    rows += [(9, text("c")), (6, "")]
+    got = dart_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(1, 1), (2, 2), (3, 3), (6, 6), (7, 7), (8, 7), (8, 8), (9, 1), (9, 2), (9, 3), (9, 3)]
