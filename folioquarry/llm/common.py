@@ -17,9 +17,39 @@ from pyspark.sql import types as T
 BATCH_BYTES = 2_000_000
 
 
+#: Rows (of two numbers) that a side may have to be broadcast; some 30 MB.
+BROADCAST_ROWS = 1_000_000
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only if unset."""
-    return spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="shared-")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or that of setCheckpointDir.
+
+    A temporary folder of this machine stands in only where driver and executors are one process.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and (set_by_context := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        named = set_by_context.get()
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="shared-")
+    return named
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the driver ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
+
+
+def bounded(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The side of a join, to be broadcast if it is counted to hold at most so many rows."""
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
 
 
 class Scratch:
@@ -30,7 +60,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+        self.spark, self.folder, self.paths = spark, new_folder(spark, "scratch"), 0
 
     def put(self, df: DataFrame) -> DataFrame:
         self.paths += 1
@@ -140,6 +170,9 @@ def word_hashes(w: Words) -> np.ndarray:
     starts[w.start] = w.start
     place = np.arange(len(w.data)) - np.maximum.accumulate(starts)
     with np.errstate(over="ignore"):
-        value = _MIX[w.data] * _POWER[place & 4095]
+        factor = _POWER[np.minimum(place, len(_POWER) - 1)]
+        far = np.flatnonzero(place >= len(_POWER) - 1)  # words of over 4,095 bytes
+        factor[far] = mixed(place[far].astype(np.uint64)) | np.uint64(1)
+        value = _MIX[w.data] * factor
         sums = np.concatenate([[np.uint64(0)], np.cumsum(value)])
         return mixed(sums[w.end] - sums[w.start] + (w.end - w.start).astype(np.uint64))

@@ -6,14 +6,16 @@ K ln K + 2 K of them; each dart belongs to one of K coordinates, and the earlies
 signature's value there, so two texts agree at a coordinate with the chance of their weighted Jaccard similarity.
 Signatures are cut into bands; texts that share a band are candidates.
 
-Copies are first folded to one representative by digest.  Candidates of a band are compared exactly with the
-band's smallest id; texts that prove similar join one class (components, by contraction).  Where a band still
-holds several classes, further members lead, twice as many each round, until all pairs of different classes of
-each band have been compared, so no candidate link is lost and no group is expanded into all its pairs.
-
-Defined results: a null text, or a row without an id, is a class of its own; texts without words belong
-together only if they are equal; a text of fewer than five words is one shingle; ties go to the smaller id;
-rows that repeat share a class, while texts of one id are classed each by itself; an empty table gives no rows; only the named columns are read.
+Copies are first folded to one text by digest.  Each band's texts are compared exactly with one leader, and those
+that prove similar join one class (components, by contraction).  Texts of bands that still hold several classes then
+meet by prefix filtering: their rarest shingles are the join keys, and sizes and places bound what a pair can share.
+So every pair of texts that shares a band is settled, and no group is expanded into all its pairs.
+
+Defined results: a null text is a class of its own; texts without words belong together only if they are equal; a
+text of fewer than five words is one shingle; ties go to the smaller id, then the smaller hash of the text; a row
+without an id is classed by its text, comes after all rows with one, and a class without any id has a null class_id;
+rows that repeat share a class, and are all first if one is, of which deduplicate() leaves one; texts of one id are
+classed each by itself; an empty table gives no rows; only the named columns are read, all others are kept.
 """
 
 from __future__ import annotations
@@ -22,16 +24,14 @@ import hashlib
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioquarry.llm.common import Scratch, Words, mixed, over_texts, word_hashes
+from folioquarry.llm.common import Scratch, Words, bounded, mixed, over_texts, word_hashes
 
 SHINGLE, BANDS, ROWS = 5, 42, 6
 COORDINATES = BANDS * ROWS
-#: How many members of a band lead in the first round after the smallest; twice as many in each further one.
-LEADERS = 16
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
 _U = np.uint64
 
@@ -134,8 +134,7 @@ def _digest(text: str | None) -> bytes | None:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, weighted: bool = False) -> DataFrame:
-    """id, digest of the words, and bands (none without words) of every row."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    """id, raw (hash of the text as it is), digest of the words, and bands (none without words) of every row."""
 
     def kernel(texts: list[str | None]) -> list[list]:
         out = []
@@ -151,31 +150,44 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, weighted: bool = False)
             out += [b if s else b[:0] for b, s in zip(found, some, strict=True)]
         return [[_digest(t) for t in texts], out]
 
-    return over_texts(rows, "text", kernel, T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]), ["id"])
+    fields = [T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    return over_texts(_rows(docs, id_col, text_col), "text", kernel, T.StructType(fields), ["id", "raw"])
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
-    """id, digest and set (sorted shingle hashes) of the documents with one of the ids."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(ids, "id", "left_semi")
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("raw"), text.alias("text"))
 
-    def kernel(texts: list[str | None]) -> list[list]:
-        doc, element, _ = shingles(texts)
-        return [[_digest(t) for t in texts], np.split(element.view(np.int64), np.searchsorted(doc, np.arange(1, len(texts))))]
 
-    return over_texts(rows, "text", kernel, T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("set", T.ArrayType(T.LongType()))]), ["id"])
+def _sets(docs: DataFrame, id_col: str, text_col: str, texts: DataFrame) -> DataFrame:
+    """vid and set (sorted shingle hashes) of the given texts (vid, digest, and the row that stands for them).
+
+    The rows that are wanted are broadcast while they are few; beyond ``BROADCAST_ROWS`` both sides are shuffled.
+    """
+
+    def kernel(parts: list[str | None]) -> list[list]:
+        doc, element, _ = shingles(parts)
+        return [[_digest(t) for t in parts], np.split(element.view(np.int64), np.searchsorted(doc, np.arange(1, len(parts))))]
+
+    wanted = texts.select(F.col("row.id").alias("wanted_id"), F.col("row.raw").alias("wanted_raw"))
+    rows = _rows(docs, id_col, text_col)
+    rows = rows.join(bounded(wanted), (F.col("raw") == F.col("wanted_raw")) & F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    fields = [T.StructField("digest", T.BinaryType()), T.StructField("set", T.ArrayType(T.LongType()))]
+    found = over_texts(rows, "text", kernel, T.StructType(fields), ["raw"])
+    return found.join(texts.select("digest", "vid"), "digest").dropDuplicates(["vid"]).select("vid", "set")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets' Jaccard similarity reaches the threshold."""
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
+    left = sets.select(F.col("vid").alias("a"), F.col("set").alias("sa"))
+    right = sets.select(F.col("vid").alias("b"), F.col("set").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(common >= threshold * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """id and root (one vertex of its component) of every vertex, by rounds of contraction.
+    """vid and root (one vertex of its component) of every vertex, by rounds of contraction.
 
     Each vertex goes to the neighbour of least hash unless its own is less; edges between what is left go on.
     A star collapses in two rounds; the hash is salted anew every second round, so that each pair of rounds
@@ -186,67 +198,126 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         order = lambda c: F.struct(F.xxhash64(F.lit(turn // 2), c).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
         least = edges.union(edges.select("b", "a")).groupBy("a").agg(F.min(order("b")).alias("m"))
         goes = scratch.put(least.select(F.col("a").alias("v"), F.least(F.col("m"), order("a"))["v"].alias("to")))
-        now = goes.select(F.col("v").alias("id"), F.col("to").alias("root"))
+        now = goes.select(F.col("v").alias("vid"), F.col("to").alias("root"))
         if known is not None:
-            now = known.join(goes, known["root"] == goes["v"], "left").select("id", F.coalesce("to", "root").alias("root"))
+            now = known.join(goes, known["root"] == goes["v"], "left").select("vid", F.coalesce("to", "root").alias("root"))
         now = scratch.put(now)
         ends = edges.join(goes.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").join(goes.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
         left = scratch.put(ends.filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
         scratch.drop(edges, known, goes)
         edges, known, turn = left, now, turn + 1
-    return known if known is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    return known if known is not None else edges.select(F.col("a").alias("vid"), F.col("b").alias("root"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, weighted: bool = False) -> DataFrame:
-    """id_col, class_id (the smallest id of the class) and is_first for every row."""
+def stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each band's leader with its other members: the leader is in the largest bands, so amid its copies."""
+    weight = members.groupBy("vid").agg(F.sum("n").alias("weight"))
+    members = members.join(weight, "vid")
+    lead = members.groupBy("band").agg((-F.max(F.struct("weight", (-F.col("vid")).alias("v")))["v"]).alias("a"))
+    return members.select("band", F.col("vid").alias("b")).join(lead, "band").filter("a != b").select("a", "b").distinct()
+
+
+def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """vid, root and outside of the texts of bands that hold several classes; outside: not of some such band's largest class."""
+    now = members.select("vid", "band").join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
+    sizes = now.groupBy("band", "root").agg(F.count("*").alias("c"))
+    several = sizes.groupBy("band").agg(F.max(F.struct("c", "root"))["root"].alias("most"), F.count("*").alias("k")).filter("k > 1")
+    return now.join(several, "band").groupBy("vid").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("most")).alias("outside"))
+
+
+def prefixes(texts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """s, place and n beside the columns of ``texts``: the shingles by which a similar pair must meet.
+
+    A text's shingles go from rare to frequent among these texts; two texts of the threshold's similarity share
+    one of the first n - ceil(threshold n) + 1.  Shingles of one text alone keep their places and are left out.
+    """
+    each = texts.select("vid").join(sets, "vid").select("vid", F.size("set").alias("n"), F.explode("set").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("often")).filter("often > 1")
+    # one row for each text: a list of its own shingles
+    lists = each.join(often, "s").groupBy("vid", "n").agg(F.array_sort(F.collect_list(F.struct("often", "s"))).alias("list"))
+    alone = F.col("n") - F.size("list")
+    reach = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - alone
+    lists = lists.select("vid", "n", alone.alias("alone"), F.slice("list", F.lit(1), F.greatest(reach, F.lit(0)).cast("int")).alias("list"))
+    return lists.select("vid", "n", "alone", F.posexplode("list").alias("i", "x")).select("vid", "n", F.col("x.s").alias("s"), (F.col("alone") + F.col("i")).alias("place")).join(texts, "vid")
+
+
+def residue(prefix: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different classes, one of them outside, that meet by a prefix and may reach the threshold.
+
+    What lies behind the meeting place bounds the common shingles, and the bound must reach what the sizes ask for.
+    """
+    a = prefix.filter("outside").select(*[F.col(c).alias(f"{c}_a") for c in ("vid", "root", "n", "place")], "s")
+    b = prefix.select(*[F.col(c).alias(f"{c}_b") for c in ("vid", "root", "n", "place", "outside")], "s")
+    once = ~F.col("outside_b") | (F.col("vid_a") < F.col("vid_b"))
+    need = (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9
+    most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    sizes = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9
+    met = a.join(b, (a["s"] == b["s"]) & (F.col("root_a") != F.col("root_b")) & once & sizes & (most >= need))
+    return met.select(F.col("vid_a").alias("a"), F.col("vid_b").alias("b")).distinct()
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, weighted: bool) -> DataFrame:
+    """id, raw and key (one number for each class; null for null texts) of every row."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.put(sketch(docs, id_col, text_col, weighted))
-    texts = rows.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"))
-    # a vertex is a text: its smallest id, with the digest where an id has several texts
-    several = F.count("*").over(Window.partitionBy("id")) > 1
-    texts = scratch.put(texts.withColumn("vertex", F.struct("id", F.when(several, F.col("digest")).otherwise(F.lit(b"")).alias("which"))))
-    mine = rows.filter("size(bands) > 0").join(texts, ["digest", "id"]).dropDuplicates(["digest", "id"])
-    members = mine.select(F.col("vertex").alias("id"), F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = scratch.put(members.join(shared, "band"))  # only those that share a band
-    sets = _sets(docs, id_col, text_col, members.select("id.id").distinct()).join(texts, ["id", "digest"]).dropDuplicates(["id", "digest"])
-    sets = scratch.put(sets.select(F.col("vertex").alias("id"), "set"))
-    links = scratch.put(similar(members.filter("lead != id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), sets, threshold))
+    texts = rows.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "raw")).alias("row"), F.first("bands").alias("bands"))
+    texts = scratch.put(texts.withColumn("vid", F.monotonically_increasing_id()))  # fixed by the table that is written
+    members = texts.select("vid", F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    members = scratch.put(members.join(shared, "band"))
+    needed = scratch.put(texts.join(members.select("vid").distinct(), "vid", "left_semi").select("vid", "digest", "row"))
+    sets = scratch.put(_sets(docs, id_col, text_col, needed))
+    links = scratch.put(similar(stars(members), sets, threshold))
     roots = components(links, scratch)
-    ranked, low, lead = None, 0, LEADERS
-    while True:
-        source = members.select("id", "band") if ranked is None else ranked
-        now = source.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_bands = now.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"), *([] if ranked is None else [F.max("rank").alias("top")]))
-        open_bands = open_bands.filter("r != s" + ("" if ranked is None else f" and top >= {low}")).select("band")
-        now = now.join(open_bands, "band", "left_semi")
-        if ranked is None:  # members of the bands that are still open, in order
-            now = now.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("id")) - 1)
-        old, now = ranked, scratch.put(now.select("id", "band", "rank", "root"))
+    left = scratch.put(unsettled(members, roots))
+    prefix = scratch.put(prefixes(left, sets, threshold))
+    more = scratch.put(similar(residue(prefix, threshold), sets, threshold))
+    if not more.isEmpty():
+        # classes so far and the links between them: as many rows as texts, however many links there were
+        both = roots.filter("vid != root").select(F.col("vid").alias("a"), F.col("root").alias("b")).union(more)
+        old, roots = roots, components(both, scratch)
         scratch.drop(old)
-        if now.isEmpty():
-            break
-        leads = now.filter(F.col("rank").between(low, low + lead - 1)).select("band", F.col("id").alias("a"), F.col("rank").alias("i"), F.col("root").alias("x"))
-        pairs = now.join(leads, "band").filter("root != x and rank > i").select("a", F.col("id").alias("b")).distinct()
-        more = scratch.put(similar(pairs, sets, threshold))
-        if not more.isEmpty():
-            # classes so far and the links between them: as many rows as vertices, however many links there were
-            new_roots = components(roots.filter("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")).union(more), scratch)
-            scratch.drop(roots)
-            roots = new_roots
-        scratch.drop(more)
-        low, lead = low + lead, lead * 2
-        ranked = now.drop("root")
-        ranked.scratch_path = now.scratch_path
-    scratch.drop(members, sets, links, now)
-    first = roots.join(roots.groupBy("root").agg(F.min("id.id").alias("class_id")), "root").select(F.col("id").alias("vertex"), "class_id")
-    of_text = texts.join(first, "vertex", "left").select("digest", F.coalesce("class_id", "id").alias("class_id"))
-    out = rows.select("id", "digest").join(of_text, "digest", "left")
-    own = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("class_id", "id"))
-    return out.select(F.col("id").alias(id_col), own.alias("class_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("is_first"))
+    scratch.drop(members, needed, sets, links, left, prefix, more)
+    keys = texts.select("digest", "vid").join(roots, "vid", "left").select("digest", F.coalesce("root", "vid").alias("key"))
+    return rows.select("id", "raw", "digest").join(keys, "digest", "left").select("id", "raw", "key")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, weighted: bool = False) -> DataFrame:
+    """id_col, class_id (the smallest id of the class) and is_first for every row."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.put(_classed(docs, id_col, text_col, threshold, weighted))
+    first = _firsts(rows).select("key", F.col("first.id").alias("first_id"), F.col("first.raw").alias("first_raw"))
+    out = rows.join(first, "key", "left")
+    own = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("first_id"))
+    is_first = F.col("key").isNull() | (F.col("id").eqNullSafe(F.col("first_id")) & (F.col("raw") == F.col("first_raw")))
+    return out.select(F.col("id").alias(id_col), own.alias("class_id"), is_first.alias("is_first"))
+
+
+def _firsts(rows: DataFrame) -> DataFrame:
+    """key and first (no_id, id, raw, copies) of every class: its smallest row, rows without an id last."""
+    each = rows.filter("key is not null").groupBy("key", "id", "raw").agg(F.count("*").alias("copies"))
+    return each.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "raw", "copies")).alias("first"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """The rows whose documents are the first of their class; rows of one id stay or go together, rows without id stay."""
-    gone = classes(docs, id_col, text_col, threshold).filter("not is_first").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each class, with its own columns alone: that of the smallest id, and one of rows that repeat it.
+
+    The rows that go are broadcast while they are few; beyond ``BROADCAST_ROWS`` both sides are shuffled.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.put(_classed(docs, id_col, text_col, threshold, False))
+    firsts = scratch.put(_firsts(rows))
+    stay = firsts.select("key", F.col("first.id").alias("first_id"), F.col("first.raw").alias("first_raw"))
+    gone = rows.join(stay, "key").filter(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("raw") == F.col("first_raw"))))
+    gone = scratch.put(gone.select(F.col("id").alias("__gone_id"), F.col("raw").alias("__gone_raw")).distinct())
+    raw = F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    its = [F.col(f"`{c}`") for c in docs.columns]
+    same_id = lambda x: F.col(f"`{id_col}`").eqNullSafe(F.col(x))
+    out = docs.join(bounded(gone), (raw == F.col("__gone_raw")) & same_id("__gone_id"), "left_anti")
+    again = firsts.filter("first.copies > 1").select(F.col("first.id").alias("__again_id"), F.col("first.raw").alias("__again_raw"))
+    if again.isEmpty():
+        return out.select(*its)
+    # rows that repeat in full key, of which one stays; null texts are nobody's copies
+    is_again = (raw == F.col("__again_raw")) & same_id("__again_id") & F.col(f"`{text_col}`").isNotNull()
+    repeated = out.join(bounded(again), is_again, "left_semi").withColumn("__raw", raw).dropDuplicates([id_col, "__raw"])
+    return out.join(bounded(again), is_again, "left_anti").select(*its).unionByName(repeated.select(*its))
