@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 BATCH_BYTES = 2_000_000
 
 
-#: Rows (of two numbers) that a side may have to be broadcast; some 30 MB.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a few numbers that a side may have to be broadcast; as a hashed relation some 30 MB.
+BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -78,6 +78,14 @@ class Scratch:
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one with underscores before it, that no column has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def slices(batch: pa.RecordBatch, text: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts have at most ``limit`` bytes together, one row at least."""
     sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -209,19 +209,20 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return known if known is not None else edges.select(F.col("a").alias("vid"), F.col("b").alias("root"))
 
 
-def stars(members: DataFrame) -> DataFrame:
+def stars(members: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of each band's leader with its other members: the leader is in the largest bands, so amid its copies."""
     weight = members.groupBy("vid").agg(F.sum("n").alias("weight"))
-    members = members.join(weight, "vid")
-    lead = members.groupBy("band").agg((-F.max(F.struct("weight", (-F.col("vid")).alias("v")))["v"]).alias("a"))
+    members = scratch.put(members.join(weight, "vid"))
+    lead = scratch.put(members.groupBy("band").agg((-F.max(F.struct("weight", (-F.col("vid")).alias("v")))["v"]).alias("a")))
     return members.select("band", F.col("vid").alias("b")).join(lead, "band").filter("a != b").select("a", "b").distinct()
 
 
-def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
+def unsettled(members: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     """vid, root and outside of the texts of bands that hold several classes; outside: not of some such band's largest class."""
     now = members.select("vid", "band").join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
     sizes = now.groupBy("band", "root").agg(F.count("*").alias("c"))
     several = sizes.groupBy("band").agg(F.max(F.struct("c", "root"))["root"].alias("most"), F.count("*").alias("k")).filter("k > 1")
+    several = scratch.put(several.select("band", "most"))
     return now.join(several, "band").groupBy("vid").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("most")).alias("outside"))
 
 
@@ -263,13 +264,14 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, weig
     texts = rows.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "raw")).alias("row"), F.first("bands").alias("bands"))
     texts = scratch.put(texts.withColumn("vid", F.monotonically_increasing_id()))  # fixed by the table that is written
     members = texts.select("vid", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    # counts by band are written before they are joined, as Spark splits a hot key only where both sides come from a shuffle or a table
+    shared = scratch.put(members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
     members = scratch.put(members.join(shared, "band"))
     needed = scratch.put(texts.join(members.select("vid").distinct(), "vid", "left_semi").select("vid", "digest", "row"))
     sets = scratch.put(_sets(docs, id_col, text_col, needed))
-    links = scratch.put(similar(stars(members), sets, threshold))
+    links = scratch.put(similar(stars(members, scratch), sets, threshold))
     roots = components(links, scratch)
-    left = scratch.put(unsettled(members, roots))
+    left = scratch.put(unsettled(members, roots, scratch))
     prefix = scratch.put(prefixes(left, sets, threshold))
     more = scratch.put(similar(residue(prefix, threshold), sets, threshold))
     if not more.isEmpty():
@@ -286,7 +288,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     """id_col, class_id (the smallest id of the class) and is_first for every row."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.put(_classed(docs, id_col, text_col, threshold, weighted))
-    first = _firsts(rows).select("key", F.col("first.id").alias("first_id"), F.col("first.raw").alias("first_raw"))
+    first = scratch.put(_firsts(rows)).select("key", F.col("first.id").alias("first_id"), F.col("first.raw").alias("first_raw"))
     out = rows.join(first, "key", "left")
     own = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("first_id"))
     is_first = F.col("key").isNull() | (F.col("id").eqNullSafe(F.col("first_id")) & (F.col("raw") == F.col("first_raw")))
