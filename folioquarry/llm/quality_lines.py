@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioquarry.llm.common import SPACE, Words, char_starts, over_texts
+from folioquarry.llm.common import SPACE, Words, char_starts, over_texts, unused
 from folioquarry.llm.crf import Crf, train, viterbi
 
 #: Least share of words in content lines, and the base rules' limits.
@@ -230,5 +230,7 @@ def score(df: DataFrame, text_col: str = "text", keep: list[str] | None = None,
 def retain(df: DataFrame, text_col: str = "text", model: Crf | None = None) -> DataFrame:
     """The rows, with their own columns alone, that the rules keep."""
     model = model or default_model()
-    verdict = T.StructType([T.StructField("__kept", T.BooleanType())])
-    return over_texts(df, text_col, lambda texts: [judge(model, texts)["kept"]], verdict, df.columns).filter("__kept").select(*[F.col(f"`{c}`") for c in df.columns])
+    name = unused(df, "kept")
+    verdict = T.StructType([T.StructField(name, T.BooleanType())])
+    out = over_texts(df, text_col, lambda texts: [judge(model, texts)["kept"]], verdict, df.columns)
+    return out.filter(F.col(f"`{name}`")).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioquarry.llm.common import Words, over_texts
+from folioquarry.llm.common import Words, over_texts, unused
 
 KINDS = ("assign", "access", "hex", "entropy")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -132,6 +132,6 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Dat
     def kernel(texts: list[str | None]) -> list[list]:
         return [[clean(t, a + b) for t, (a, b) in zip(texts, find(texts), strict=True)]]
 
-    new = T.StructType([T.StructField("__clean", T.StringType())])
-    out = over_texts(df, text_col, kernel, new, df.columns)
-    return out.select(*[F.col("__clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    name = unused(df, "clean")
+    out = over_texts(df, text_col, kernel, T.StructType([T.StructField(name, T.StringType())]), df.columns)
+    return out.select(*[F.col(f"`{name}`").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])

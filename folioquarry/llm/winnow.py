@@ -2,12 +2,14 @@
 
 Fingerprints are the minimum 5-word hash of each 6 consecutive ones (the rightmost of equals), so any shared
 span of 10 words gives both sides one fingerprint at the same place of the span.  Fingerprints of documents
-and items are joined; a hit names the offset between the two texts, and all of the item's words are compared
+and items are joined; a hit names the offset between the two texts, and the item's words round it are compared
 along it, which finds every shared window exactly.  Items of fewer than 10 words are one window, found by
 the hash of as many document words, and compared likewise.
 
-The benchmark side is broadcast while its words number at most ``broadcast_words``; beyond that both sides
-are shuffled by fingerprint and the hits go back to their documents by a second join.
+A fingerprint of an item carries the at most 15 words round it that a window with it can hold, so what is joined grows
+with the benchmark's words, however they are dealt to items.  It is broadcast while it has ``broadcast_rows`` rows at
+most (some 40 MB); beyond that both sides are shuffled by fingerprint and the hits go back to their documents by a
+second join.
 
 Defined results: null and empty texts have no words and are clean; items without words are left out; rows
 that repeat give one result each; an empty benchmark leaves all documents clean; an item id that repeats
@@ -20,10 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioquarry.llm.common import Scratch, bounded
 from folioquarry.llm.textsql import starts, words_of
 
 WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1
+#: Fingerprints of the benchmark that may be broadcast; each has 15 words at most.
+BROADCAST_ROWS = 100_000
 _LOW = 7  # bits of a packed hash that hold its place in the window, as SPAN <= 8
 
 
@@ -71,35 +76,46 @@ def _hits(words: Column, item: Column, offset: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(whole, lambda j: F.sequence(offset + j, offset + j + size - 1))))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_words: int = 500_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and items (sorted ids) for each document row."""
+def _round(words: Column, place: Column) -> tuple[Column, Column]:
+    """The words that windows with the gram at a place can hold, and where they begin."""
+    low = F.greatest(place - (WINDOW - GRAM), F.lit(0))
+    return F.slice(words, low + 1, place + WINDOW - low), low
+
+
+def _judged(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, broadcast_rows: int) -> DataFrame:
+    """id, text_hash, n_words, copies, items, unnamed and n_hit of each text of each id."""
     ref = items.select(F.col(f"`{item_id}`").cast("string").alias("item"), words_of(F.col(f"`{item_text}`")).alias("iw")).filter("size(iw) > 0")
     long_items, short_items = ref.filter(F.size("iw") >= WINDOW), ref.filter(F.size("iw") < WINDOW)
-    facts = ref.agg(F.sum(F.size("iw")).alias("words"), F.collect_set(F.when(F.size("iw") < WINDOW, F.size("iw"))).alias("short")).first()
-    small, lengths = (facts["words"] or 0) <= broadcast_words, sorted(facts["short"])
+    lengths = sorted(ref.agg(F.collect_set(F.when(F.size("iw") < WINDOW, F.size("iw"))).alias("short")).first()["short"])  # nine at most
     key = ["id", "text_hash"]
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), words_of(text).alias("w"))
-    sides = [(fingerprints(rows, [*key, "w"], marker=True), fingerprints(long_items, ["item", "iw"], "iw"))]
+    near, low = _round(F.col("iw"), F.col("pos"))
+    marks = fingerprints(long_items, ["item", "iw"], "iw").select("item", "fp", (F.col("pos") - low).alias("q"), near.alias("iw")).distinct()
+    sides = [(fingerprints(rows, [*key, "w"], marker=True), marks)]
     if lengths:
         sides.append((_short(rows, [*key, "w"], lengths), _short_items(short_items, lengths)))
     found = None
     for left, right in sides:
-        right = right.select("fp", F.col("pos").alias("q"), "item", "iw")
-        if small:
+        if right.limit(broadcast_rows + 1).count() <= broadcast_rows:
             part = left.join(F.broadcast(right), "fp", "left").filter("fp is null or iw is not null")
         else:
             part = _by_shuffle(left.drop("w"), right, rows, marks=found is None)
         # no filter uses the comparison below: such a filter would leave code generation and copy the words of every row
         part = part.select(*key, F.when(F.col("fp").isNull(), F.size("w")).alias("n_words"), "item", F.when(F.col("iw").isNotNull(), _hits(F.col("w"), F.col("iw"), F.col("pos") - F.col("q"))).alias("places"))
         found = part if found is None else found.unionByName(part)
-    per = found.groupBy(*key).agg(
+    return found.groupBy(*key).agg(
         F.max("n_words").alias("n_words"),
         F.count("n_words").alias("copies"),
         F.array_sort(F.collect_set(F.when(F.size("places") > 0, F.col("item")))).alias("items"),
         F.max(F.when(F.size("places") > 0, F.col("item").isNull().cast("int"))).alias("unnamed"),
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_hit"),
     )
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and items (sorted ids) for each document row."""
+    per = _judged(docs, items, id_col, text_col, item_id, item_text, broadcast_rows)
     per = per.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return per.select(
         F.col("id").alias(id_col),
@@ -112,9 +128,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
 
 
+def retain(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows, with their own columns alone, whose texts hold no window of an item; each text of an id by itself.
+
+    The texts that go are broadcast while they are few; beyond ``BROADCAST_ROWS`` of common.py both sides are shuffled.
+    """
+    hit = _judged(docs, items, id_col, text_col, item_id, item_text, broadcast_rows).filter("n_hit > 0")
+    gone = Scratch(docs.sparkSession).put(hit.select(F.col("id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash")))
+    same = (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__gone_hash")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__gone_id"))
+    return docs.join(bounded(gone), same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def _short_items(items: DataFrame, lengths: list[int]) -> DataFrame:
     fp = F.coalesce(*[F.when(F.size("iw") == k, _gram(F.col("iw"), F.lit(0), k)) for k in lengths])
-    return items.select("item", "iw", fp.alias("fp"), F.lit(0).alias("pos"))
+    return items.select("item", fp.alias("fp"), F.lit(0).alias("q"), "iw").distinct()
 
 
 def _by_shuffle(left: DataFrame, right: DataFrame, rows: DataFrame, marks: bool) -> DataFrame:

@@ -156,7 +156,7 @@ def test_decontamination(spark, broadcast):
     docs = [(i, " ".join(word() for _ in range(rng.randint(0, 60)))) for i in range(40)]
     docs += [(100 + i, f"x {t} y, {t}") for i, t in items if t] + [(7, docs[7][1])]
     split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower())
-    got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in winnow.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_words=broadcast).collect())
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in winnow.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=broadcast).collect())
     want = []
     for i, t in docs:
         w, hit, met = split(t), set(), set()

@@ -64,3 +64,23 @@ def test_sql(spark):
         cur = con.execute(sql)
         at = [[c[0] for c in cur.description].index(c) for c in df.columns]
         assert sorted(map(repr, map(tuple, df.collect()))) == sorted(repr(tuple(r[i] for i in at)) for r in cur.fetchall()), name
+
+
+def test_stages_on_nulls_repeats_and_clashing_columns(spark):
+    bench = " ".join(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(1).collect())
+    prose = " ".join(f"Word{i % 37} and then more of it." for i in range(30))
+    other = prose.replace("Word", "Term") * 3
+    rows = [(1, prose + " one two three four five six", None), (1, prose + " " + bench, "s"), (2, None, "s"), (None, prose.upper(), "s"), (None, None, None), (3, "", "s"), (4, other + " token = \"c1e4c9030b2fad02edf9e9b50afc6bbc838394ff\" end", "s"), (4, other + " token = \"c1e4c9030b2fad02edf9e9b50afc6bbc838394ff\" end", "s"), (5, "x " * 90_000, "s")]
+    schema = "doc_id long, text string, source string, __clean string, clean int, kept int, KEPT2 int, id string, w int, fp long, n_hit int"
+    docs = spark.createDataFrame([(*r, "c", 1, 2, 3, "i", 4, 5, 6) for r in rows], schema)
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        left[name] = out.collect()
+    assert [(r.doc_id, r["__clean"], r.clean, r.kept) for r in left["secret scan"]] == [(i, "c", 1, 2) for i, _, _ in rows]
+    assert [r.text for r in left["secret scan"] if r.doc_id == 4] == [other + " [SECRET]\" end"] * 2
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in left["decontamination"]) == sorted((i or 0, len(t or "")) for i, t, _ in rows if t is None or bench not in t)
+    assert sorted((r.doc_id or 0) for r in left["near duplicates"]) == [0, 0, 1, 1, 2, 3, 4, 5]
+    assert not [r for r in left["quality rules"] if not r.text]
+    assert corpus_pipeline.encode(spark, docs, SF).count() == len(rows)

@@ -64,7 +64,7 @@ def test_items_with_repeated_and_null_ids(spark, broadcast):
         con.executemany(f"insert into {name} values (?, ?)", rows)
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     want = sorted(con.sql(oracle.SQL["op6_winnowing"]).select(*columns).fetchall())
-    got = winnow.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_words=broadcast)
+    got = winnow.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=broadcast)
     assert sorted(map(tuple, got.select(*columns).collect())) == want
     assert [r[2] for r in want] == [20, 3, 12, 3, 33, 0, 0]
     assert {r.doc_id: r["items"] for r in got.collect()} == {1: ["1"], 2: ["2"], 3: ["3"], 4: [], 5: ["1", "3"], 6: [], 7: []}
