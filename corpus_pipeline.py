@@ -6,14 +6,12 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioquarry.llm import byte_bpe, dart_minhash, quality_lines, secret_scan, winnow
-from folioquarry.llm.common import shared_folder
+from folioquarry.llm.common import new_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item; rows without id cannot be told apart and are judged together."""
-    found = winnow.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.filter("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__id"]), "left_anti").select(*docs.columns)
+    """Documents whose texts hold no window of a benchmark item."""
+    return winnow.retain(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +49,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over ``documents``; what lies between is written to the shared folder and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
