@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +37,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def after_first(items: Column) -> Column:
+    """All elements of an array but its first."""
+    return F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
+
+
 def squeeze(x: Text) -> Column:
     """White space of any kind as single spaces, none at the ends."""
     return F.trim(F.regexp_replace(F.coalesce(_c(x), F.lit("")), SPACE, " "))
@@ -81,15 +89,28 @@ def output_path(x: Text, safe: bool = True, lower: bool = False) -> Column:
     return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") if lower else x
 
 
-#: Named character references that titles use; numeric ones are decoded by rule.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&amp;": "&"}
+def unescaped(x: Text) -> Column:
+    """Character references decoded: all named ones of the HTML standard that end in a semicolon, and numeric ones.
 
+    As browsers do it, numbers 128 to 159 mean windows-1252, and 0 and what is no character U+FFFD.
+    """
+    names = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+    old = F.create_map(*[F.lit(y) for n in range(128, 160) for y in (n, bytes([n]).decode("cp1252", "ignore") or chr(n))])
 
-def unescaped(x: Text) -> Column:
-    x = _c(x)
-    for name, value in ENTITIES.items():
-        x = F.replace(x, F.lit(name), F.lit(value))
-    return x
+    def numbered(ref: Column) -> Column:
+        digits = F.regexp_extract(ref, "^#[xX]?0*([0-9A-Fa-f]*)$", 1)
+        n = F.when(F.length(digits) <= 8, F.when(F.lower(F.substring(ref, 2, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint"))
+        n = F.coalesce(n, F.lit(0))
+        bad = (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+        plain = F.decode(F.unhex(F.lpad(F.hex(F.when(bad, 0xFFFD).otherwise(n)), 8, "0")), "UTF-32")
+        return F.coalesce(F.try_element_at(old, n.cast("int")), plain)
+
+    def decoded(part: Column) -> Column:
+        ref = F.regexp_extract(part, "^&(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);", 1)
+        value = F.when(ref.startswith("#"), F.concat(let(ref, numbered), F.substr(part, F.length(ref) + 3))).otherwise(F.concat(F.try_element_at(names, ref), F.substr(part, F.length(ref) + 3)))
+        return F.when(ref == "", part).otherwise(F.coalesce(value, part))
+
+    return F.when(F.instr(_c(x), "&") > 0, F.array_join(F.transform(F.split(_c(x), "(?=&)"), decoded), "")).otherwise(_c(x))
 
 
 def clean_title(x: Text) -> Column:
@@ -111,7 +132,7 @@ def title_from_slug(x: Text) -> Column:
     words = F.filter(F.split(_c(x), "-"), lambda w: w != "")
     minor = F.array(*[F.lit(w) for w in MINOR_WORDS])
     acronym = lambda w: (F.length(w) <= 3) & w.rlike("[A-Z]") & (F.upper(w) == w)
-    return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & F.array_contains(minor, w), w).when(acronym(w), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20)))), " ")
+    return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & F.array_contains(minor, w), w).when(acronym(w), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))), " ")
 
 
 def chapter_of(x: Text) -> Column:
@@ -177,7 +198,7 @@ def tag(x: Text) -> Column:
     x = F.when(F.instr(x, "_") == 0, x).when(F.instr(head, "-") > 0, head).otherwise(F.replace(x, F.lit("_"), F.lit("-")))
     parts = F.split(x, "-")
     cased = F.aggregate(
-        F.slice(parts, 2, 99),
+        after_first(parts),
         F.struct(F.lower(F.get(parts, F.lit(0))).alias("t"), F.lit(False).alias("tail")),
         lambda s, p: F.struct(
             F.concat(s["t"], F.lit("-"), F.when(s["tail"] | (F.length(p) == 1), F.lower(p)).when(p.rlike("^[A-Za-z]{2}$"), F.upper(p)).when(p.rlike("^[A-Za-z]{4}$"), F.initcap(p)).otherwise(F.lower(p))).alias("t"),
@@ -210,7 +231,7 @@ def guarded(x: Text) -> Column:
 
 
 def unguarded(x: Text) -> Column:
-    return F.when(_c(x).startswith("'") & _c(x).rlike(FORMULA), F.substring(_c(x), 2, 1 << 30)).otherwise(_c(x))
+    return F.when(_c(x).startswith("'") & _c(x).rlike(FORMULA), F.substr(_c(x), F.lit(2))).otherwise(_c(x))
 
 
 def stem_of(x: Text) -> Column:
@@ -289,3 +310,69 @@ def media_type(content: Text) -> Column:
 
 def file_digest(content: Text, fallback: Text) -> Column:
     return F.coalesce(F.sha2(_c(content), 256), _c(fallback))
+
+
+def percent_encoded(x: Text, safe: str) -> Column:
+    """Bytes of UTF-8 as %XX, but for ASCII letters, digits, -._~ and the characters of ``safe``."""
+    kept = "".join(dict.fromkeys("-._~" + safe))
+    quoted = "".join("\\" + c for c in kept)
+    each = F.split(_c(x), "(?<=(?s:.))(?=(?s:.))")
+    byte_pairs = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
+    return F.when(_c(x).rlike(f"[^A-Za-z0-9{quoted}]"), F.array_join(F.transform(each, lambda c: F.when(c.rlike(f"^[A-Za-z0-9{quoted}]*$"), c).otherwise(byte_pairs(c))), "")).otherwise(_c(x))
+
+
+def fragment_href(x: Text) -> Column:
+    """An id as a link names it: what an address cannot hold is encoded."""
+    return percent_encoded(fragment_id(x), "!$&'()*+,;=:@/?")
+
+
+def resource_address(url: Text) -> Column:
+    """An address without its fragment, its path encoded as a browser sends it."""
+    bare = F.split_part(_c(url), F.lit("#"), F.lit(1))
+    base = F.split_part(bare, F.lit("?"), F.lit(1))
+    query = F.when(F.instr(bare, "?") > 0, F.regexp_replace(bare, r"^[^?]*", "")).otherwise("")
+    host = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/]*)?", 0)
+    path = percent_encoded(percent_decoded(F.substr(base, F.length(host) + 1)), "/:@!$&'()*+,;=")
+    return F.concat(host, path, F.when(query == "?", "").otherwise(query))
+
+
+def image_uri(x: Text) -> Column:
+    """An image's path as the reader writes it: white space and <>|"{}[]^` encoded, the rest as it is."""
+    each = F.split(_c(x), "(?<=(?s:.))(?=(?s:.))")
+    odd = r"^[ \t-\r\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000<>|\"{}\[\]^`]$"
+    return F.array_join(F.transform(each, lambda c: F.when(c.rlike(odd), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c)), "")
+
+
+#: Names that Windows keeps for devices.
+DEVICES = "CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9]"
+
+
+def filename_problem(x: Text) -> Column:
+    """Why a text is no name of one file inside a folder; null if it is."""
+    x = _c(x)
+    return F.when(x.isNull() | ~x.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$") | (F.instr(x, "..") > 0), "is no file's name").when(F.split_part(x, F.lit("."), F.lit(1)).rlike(f"(?i)^({DEVICES})$"), "names a device")
+
+
+def coerced(x: Text, kind: str, low: float | None = None, high: float | None = None, allowed: tuple[str, ...] = ()) -> Column:
+    """struct(value, problem) of a setting's text read as bool, int, float, enum, date, language or string; a blank is null."""
+    text = F.trim(_c(x))
+    given = F.nullif(text, F.lit(""))
+    if kind == "bool":
+        value, problem = boolean_word(text).cast("string"), "is not true or false"
+    elif kind in ("int", "float"):
+        number = given.try_cast("double")
+        fits = ~F.isnan(number) & (F.abs(number) != float("inf"))
+        fits = fits & (number >= low) if low is not None else fits
+        fits = fits & (number <= high) if high is not None else fits
+        form = given.rlike(r"^[+-]?[0-9]+$") if kind == "int" else given.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+        value, problem = F.when(form & fits, (number.cast("bigint") if kind == "int" else number).cast("string")), "is not a number in range"
+    elif kind == "enum":
+        names = F.array(*[F.lit(a) for a in allowed])
+        value, problem = F.get(F.filter(names, lambda a: F.lower(a) == F.lower(text)), F.lit(0)), "is not one of the choices"
+    elif kind == "date":
+        value, problem = F.when(given.rlike(r"^\d{4}-\d{2}-\d{2}$") & given.try_cast("date").isNotNull(), given), "is not a date"
+    elif kind == "language":
+        value, problem = tag(given), "is not a language tag"
+    else:
+        value, problem = given, "is not text"
+    return F.struct(value.alias("value"), F.when(given.isNotNull() & value.isNull(), F.lit(problem)).alias("problem"))

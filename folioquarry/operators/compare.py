@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioquarry.functions.text import within_tolerance
+from folioquarry.functions.text import percent_decoded, within_tolerance
+from folioquarry.operators.links import normal_path
+from folioquarry.operators.page_rules import is_external
 
 ABSENT = "<absent>"
 
@@ -21,8 +23,8 @@ def compare_runs(before: DataFrame, after: DataFrame, key: str, fields: list[str
 
     One full outer join by key; fields are told apart within the row, so nothing is shuffled for each field.
     """
-    b = before.dropDuplicates([key]).select(key, F.struct(*fields).alias("b"))
-    a = after.dropDuplicates([key]).select(key, F.struct(*fields).alias("a"))
+    b = before.groupBy(key).agg(F.min(F.struct(*fields)).alias("b"))  # of rows that share a key the least
+    a = after.groupBy(key).agg(F.min(F.struct(*fields)).alias("a"))
     both = b.join(a, key, "full")
     diff = []
     for f in fields:
@@ -61,25 +63,74 @@ def references(refs: DataFrame, files: DataFrame, pages: DataFrame) -> DataFrame
     return lost.unionByName(dead).unionByName(orphan)
 
 
+PART = r"^(.*) \((\d+)\)$"
+
+
 def align_decks(first: DataFrame, second: DataFrame) -> DataFrame:
-    """deck, first, second: slides of two versions of a deck aligned in order by title (a longest common sequence).
+    """deck, first, second: each slide of a deck's first version with the slides of the second that make it, in order.
 
-    "Title (2)" continues "Title".  Rows of one side alone have no partner.
+    Slides go together by title; "Title (2)" and on continue "Title", so one slide may have several partners, a row
+    each.  A title that comes later in the second version leaves what stands before it without a partner.
     """
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         import re
-        from difflib import SequenceMatcher
+        from bisect import bisect_left
 
-        name = lambda t: re.sub(r"\s*\(\d+\)$", "", str(t or "")).strip().lower()
         a, b = a.sort_values("slide"), b.sort_values("slide")
         deck = (a if len(a) else b)["deck"].iloc[0]
-        x, y = [name(t) for t in a["title"]], [name(t) for t in b["title"]]
-        out, i, j = [], 0, 0
-        for m in [*SequenceMatcher(a=x, b=y, autojunk=False).get_matching_blocks()]:
-            out += [(deck, int(s), None) for s in a["slide"].iloc[i : m.a]] + [(deck, None, int(s)) for s in b["slide"].iloc[j : m.b]]
-            out += [(deck, int(s), int(t)) for s, t in zip(a["slide"].iloc[m.a : m.a + m.size], b["slide"].iloc[m.b : m.b + m.size], strict=True)]
-            i, j = m.a + m.size, m.b + m.size
+        old, new = [t or "" for t in a["title"]], [t or "" for t in b["title"]]
+        here, there = a["slide"].tolist(), b["slide"].tolist()
+        places: dict[str, list[int]] = {}
+        for k, title in enumerate(new):
+            places.setdefault(title, []).append(k)
+        out, done = [], 0
+        for i, title in enumerate(old):
+            at = places.get(title, [])
+            k = bisect_left(at, done)
+            if k == len(at):
+                out.append((deck, here[i], None))
+                continue
+            out += [(deck, None, there[j]) for j in range(done, at[k])]
+            end = at[k] + 1
+            if at[k] == done:  # parts follow only where the slide stands in its place
+                stop = old[i + 1] if i + 1 < len(old) else None
+                while end < len(new) and new[end] != stop and (m := re.match(PART, new[end])) and m[1] == title and int(m[2]) >= 2:
+                    end += 1
+            out += [(deck, here[i], there[j]) for j in range(at[k], end)]
+            done = end
+        out += [(deck, None, there[j]) for j in range(done, len(new))]
         return pd.DataFrame(out, columns=["deck", "first", "second"]).astype({"first": "Int64", "second": "Int64"})
 
     return first.select("deck", "slide", "title").groupBy("deck").cogroup(second.select("deck", "slide", "title").groupBy("deck")).applyInPandas(run, "deck string, first long, second long")
+
+
+def compare_decks(first: DataFrame, second: DataFrame) -> DataFrame:
+    """deck, slide, what: slides of one version alone, and those whose items or notes (arrays) differ from their partners' together."""
+    pairs = align_decks(first, second)
+    items = second.select("deck", F.col("slide").alias("second"), "items", "notes")
+    gathered = F.array_sort(F.collect_list(F.when(F.col("second").isNotNull(), F.struct("second", "items", "notes"))))
+    made = pairs.join(items, ["deck", "second"], "left").filter("first is not null").groupBy("deck", "first").agg(gathered.alias("parts"))
+    both = made.join(first.select("deck", F.col("slide").alias("first"), F.col("items").alias("own"), F.col("notes").alias("own_notes")), ["deck", "first"])
+    joined = lambda n: F.flatten(F.transform("parts", lambda p: p[n]))
+    what = F.when(F.size("parts") == 0, F.array(F.lit("only in the first"))).otherwise(F.array_compact(F.array(F.when(joined("items") != F.col("own"), "content"), F.when(joined("notes") != F.col("own_notes"), "notes"))))
+    extra = pairs.filter("first is null").select("deck", F.col("second").alias("slide"), F.lit("only in the second").alias("what"))
+    return both.select("deck", F.col("first").alias("slide"), F.explode(what).alias("what")).unionByName(extra)
+
+
+def field_examples(diff: DataFrame, key: str, k: int = 3) -> DataFrame:
+    """How many rows differ in each field, and the first k of them by key."""
+    counts = diff.groupBy("status", "field").agg(F.count("*").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("status", "field").orderBy(key))
+    shown = diff.withColumn("example", nth).filter(F.col("example") <= k)
+    same = F.col("c.status").eqNullSafe(F.col("s.status")) & F.col("c.field").eqNullSafe(F.col("s.field"))
+    return shown.alias("s").join(counts.alias("c"), same).select("s.status", "s.field", key, "example", "n")
+
+
+def reference_key(src: Column, page: Column) -> Column:
+    """The path without suffix, from the root, of a local file that a page names; null for addresses and fragments."""
+    bare = F.split_part(F.split_part(F.trim(src), F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1))
+    folder = F.regexp_extract(page, "^(.*)/[^/]*$", 1)
+    path = percent_decoded(bare)
+    whole = normal_path(F.when(path.startswith("/") | (folder == ""), path).otherwise(F.concat(folder, F.lit("/"), path)))
+    return F.when((bare != "") & ~is_external(F.trim(src)), F.regexp_replace(whole, r"(?<=[^./])\.[^./]*$", ""))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -77,17 +77,49 @@ def tab_tables(shapes: DataFrame) -> DataFrame:
 
 
 def missing_alt(shapes: DataFrame) -> DataFrame:
-    """Shapes that need a text and have none, but for those inside a group that has one (any depth up to eight)."""
+    """Shapes that need a text and have none, but for those inside a group, at any depth, that has one."""
+    place = ["deck", "slide"]
     need = shapes.filter(needs_alt().isNotNull() & (F.trim(F.coalesce("descr", F.lit(""))) == "") & ~F.coalesce("decorative", F.lit(False)))
-    told = shapes.filter(F.trim(F.coalesce("descr", F.lit(""))) != "").select("deck", "slide", F.col("shape_id").alias("up"))
-    parents = shapes.select("deck", "slide", F.col("shape_id").alias("up"), F.col("parent_id").alias("next"))
-    at = need.select("deck", "slide", "shape_id", F.col("parent_id").alias("up"))
-    covered = None
-    for _ in range(8):
-        hit = at.join(told, ["deck", "slide", "up"], "left_semi").select("deck", "slide", "shape_id")
-        covered = hit if covered is None else covered.unionByName(hit)
-        at = at.join(parents, ["deck", "slide", "up"]).select("deck", "slide", "shape_id", F.col("next").alias("up")).filter("up is not null")
-    return need.join(covered.distinct(), ["deck", "slide", "shape_id"], "left_anti")
+    told = F.trim(F.coalesce("descr", F.lit(""))) != ""
+    above = shapes.select(*place, F.col("shape_id").alias("up"), F.col("parent_id").alias("next"), told.alias("told"))
+    at = need.select(*place, "shape_id", F.col("parent_id").alias("up"), F.array().cast(f"array<{dict(shapes.dtypes)['shape_id']}>").alias("seen")).filter("up is not null")
+    covered = at.select(*place, "shape_id").limit(0)
+    while True:  # ends, as a walk goes to no shape twice
+        met = at.join(above, [*place, "up"]).select(*place, "shape_id", "told", "next", F.concat("seen", F.array("up")).alias("seen"))
+        met = met.checkpoint() if met.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else met.persist()
+        covered = covered.unionByName(met.filter("told").select(*place, "shape_id"))
+        at = met.filter("not told and next is not null and not array_contains(seen, next)").select(*place, "shape_id", F.col("next").alias("up"), "seen")
+        if at.isEmpty():
+            return need.join(covered.distinct(), [*place, "shape_id"], "left_anti")
+
+
+def violations(shapes: DataFrame, arrangement: DataFrame) -> DataFrame:
+    """Overlapping pairs that an arrangement (deck, slide, shape_id, rank) would draw the other way round."""
+    rank = lambda k, n: arrangement.select("deck", "slide", F.col("shape_id").alias(k), F.col("rank").alias(n))
+    at = overlapping(shapes).join(rank("first", "__a"), ["deck", "slide", "first"]).join(rank("second", "__b"), ["deck", "slide", "second"])
+    return at.filter("__a > __b").select("deck", "slide", "first", "second")
+
+
+def drafted_order(shapes: DataFrame) -> DataFrame:
+    """rank of each slide's shapes as they read, but for overlapping ones, which stay in drawing order.
+
+    The order is that of layout among the shapes that no shape still waiting lies under: a slide is one Python call.
+    """
+    schema = "deck string, slide long, shape_id long, rank int"
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        rows = list(part.sort_values("seq").itertuples())
+        meet = lambda a, b: a.x < b.x + b.w and b.x < a.x + a.w and a.y < b.y + b.h and b.y < a.y + a.h
+        under = {i: {j for j in range(i) if meet(rows[j], rows[i])} for i in range(len(rows))}
+        out, left = [], set(under)
+        while left:
+            free = [i for i in left if not under[i] & left]
+            pick = min(free, key=lambda i: (not rows[i].is_title, rows[i].y, rows[i].x, i))
+            left.remove(pick)
+            out.append((rows[pick].deck, rows[pick].slide, rows[pick].shape_id, len(out) + 1))
+        return pd.DataFrame(out, columns=["deck", "slide", "shape_id", "rank"])
+
+    return shapes.select("deck", F.col("slide").cast("long").alias("slide"), F.col("shape_id").cast("long").alias("shape_id"), "seq", "x", "y", "w", "h", F.coalesce("is_title", F.lit(False)).alias("is_title")).groupBy("deck", "slide").applyInPandas(run, schema)
 
 
 def cropped_apart(pictures: DataFrame) -> DataFrame:
@@ -97,15 +129,25 @@ def cropped_apart(pictures: DataFrame) -> DataFrame:
 
 def alt_rows(pictures: DataFrame) -> DataFrame:
     """One row an image: its first 12 places and the distinct states of its text."""
-    return pictures.groupBy("image").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("seq", "place"))), lambda x: x["place"]), 1, 12).alias("places"), F.array_sort(F.collect_set(F.coalesce("alt", F.lit("<absent>")))).alias("states"))
+    nth = F.row_number().over(Window.partitionBy("image").orderBy("seq", "place"))
+    first = pictures.withColumn("__n", nth).filter("__n <= 12").groupBy("image").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "place"))), lambda x: x["place"]).alias("places"))
+    states = pictures.groupBy("image").agg(F.array_sort(F.collect_set(F.coalesce("alt", F.lit("<absent>")))).alias("states"))
+    return first.join(states, "image")
+
+
+#: Installed typefaces that may be sent to every task.
+MOST_FACES = 10_000
 
 
-def nearest(wanted: DataFrame, fonts: DataFrame, vector: str = "panose") -> DataFrame:
-    """Each wanted typeface with the installed one at least distance.
+def nearest(wanted: DataFrame, fonts: DataFrame, vector: str = "panose", avoid: tuple[str, ...] = ()) -> DataFrame:
+    """Each wanted typeface with the installed one at least distance, of equals the first by name; faces in ``avoid`` are passed over.
 
-    The installed list is a few hundred rows at most, so it is aggregated to one broadcast array and searched in the row.
+    The installed ones are counted first; more than MOST_FACES are an error, as they go to every task as one array.
     """
-    every = fonts.agg(F.array_sort(F.collect_list(F.struct(F.col("face"), F.col(vector).alias("v")))).alias("fonts"))
+    own = fonts.filter(~F.col("face").isin(*avoid)) if avoid else fonts
+    if own.limit(MOST_FACES + 1).count() > MOST_FACES:
+        raise ValueError(f"more than {MOST_FACES} installed typefaces")
+    every = own.agg(F.array_sort(F.collect_list(F.struct(F.col("face"), F.col(vector).alias("v")))).alias("fonts"))
     distance = lambda f: F.aggregate(F.zip_with(F.col(vector), f["v"], lambda a, b: F.abs(a - b).cast("double")), F.lit(0.0), lambda s, d: s + d)
     best = F.array_min(F.transform("fonts", lambda f: F.struct(distance(f).alias("distance"), f["face"].alias("face"))))
     return wanted.crossJoin(F.broadcast(every)).select(*wanted.columns, best["face"].alias("nearest"), best["distance"].alias("distance"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioquarry.functions.text import canonical, percent_decoded
 from folioquarry.operators.page_rules import is_external
+from folioquarry.operators.sequences import ranked
 
 
 def normal_path(path: Column) -> Column:
@@ -110,8 +111,8 @@ def menu_rank(links: DataFrame) -> DataFrame:
     runs = links.withColumn("new", (~F.col("target").eqNullSafe(F.lag("target").over(w)) | (F.row_number().over(w) == 1)).cast("long"))
     per = runs.groupBy("container").agg(F.countDistinct("target").alias("reach"), F.sum("new").alias("runs"), F.max("size").alias("size"), F.min("seq").alias("first"))
     fit = (F.col("reach") >= 3) & (F.col("runs") <= 1.25 * F.col("reach") + 1)
-    ranked = per.filter(fit).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("reach"), "size", "first", "container")))
-    return per.join(ranked.select("container", "rank"), "container", "left")
+    order = ranked(per.filter(fit), [F.desc("reach"), "size", "first", "container"])
+    return per.join(order.select("container", "rank"), "container", "left")
 
 
 def resolve_redirect_map(records: DataFrame) -> dict[str, DataFrame]:

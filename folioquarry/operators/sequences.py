@@ -38,6 +38,21 @@ def running_offset(rows: DataFrame, group: list[str], order: list[str], count: s
     return rows.withColumn("offset", F.coalesce(F.sum(count).over(w), F.lit(0)))
 
 
+def ranked(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """rank (from 1) of all rows in one order, without one task that sees them all.
+
+    Rows are dealt by ranges of the order and written down; each gets the rows of the ranges before its own, whose
+    counts (one a partition) are broadcast, beside its place in its own.
+    """
+    dealt = rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id())
+    dealt = dealt.checkpoint() if rows.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else dealt.persist()
+    part = F.shiftright("__at", 33)
+    sizes = dealt.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = dealt.withColumn("__part", part).join(F.broadcast(before.select("__part", "__before")), "__part")
+    return at.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__at", "__part", "__before")
+
+
 def close_level_gaps(rows: DataFrame, group: list[str], pos: str, level: str) -> DataFrame:
     """Levels lifted to one below their new parent's: a stack folded over each group's array, within the JVM."""
     arr = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(level).alias("level"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioquarry.functions.text import is_amount, parse_number
+from folioquarry.functions.text import after_first, is_amount, parse_number
 
 GRID = "array<array<struct<cell_id:int,text:string,bold:boolean,shaded:boolean,image:boolean>>>"
 
@@ -33,7 +33,7 @@ def is_full_width_band(cells: Column) -> Column:
 
 def looks_like_header_band(cells: Column, blank_corner: bool = False) -> Column:
     """Every cell has text and is bold, or every one shaded; a blank first cell may be passed over."""
-    own = F.when(F.lit(blank_corner) & (F.size(cells) > 1) & (F.get(texts(cells), F.lit(0)) == ""), F.slice(cells, 2, 1 << 20)).otherwise(cells)
+    own = F.when(F.lit(blank_corner) & (F.size(cells) > 1) & (F.get(texts(cells), F.lit(0)) == ""), after_first(cells)).otherwise(cells)
     return (F.size(own) > 0) & F.forall(own, lambda c: F.trim(F.coalesce(c["text"], F.lit(""))) != "") & (F.forall(own, lambda c: F.coalesce(c["bold"], F.lit(False))) | F.forall(own, lambda c: F.coalesce(c["shaded"], F.lit(False))))
 
 
@@ -57,7 +57,7 @@ def keys_rows(cells: Column) -> Column:
     t = texts(cells)
     numbers = F.array_compact(F.transform(t, parse_number))
     other = F.size(t) - F.size(numbers)
-    tail = F.slice(numbers, 2, 1 << 20)
+    tail = after_first(numbers)
     pairs = lambda f: F.forall(F.zip_with(F.slice(numbers, F.lit(1), F.greatest(F.size(numbers) - 1, F.lit(0))), tail, f), lambda x: x)
     rises = (F.size(numbers) >= 3) & (pairs(lambda a, b: a < b) | pairs(lambda a, b: a > b))
     return (F.size(t) > 0) & F.forall(t, lambda x: x != "") & (F.size(F.array_distinct(t)) == F.size(t)) & ((other >= 0.2 * F.size(t)) | rises)
@@ -78,15 +78,15 @@ def snaked_list(grid: Column, least: int = 6, longest: int = 40) -> Column:
 
 def text_over_numbers(grid: Column) -> Column:
     """The first row in words, and every filled cell below but for the first column a number."""
-    below = F.flatten(F.transform(F.slice(grid, 2, 1 << 20), lambda r: F.slice(r, 2, 1 << 20)))
+    below = F.flatten(F.transform(after_first(grid), lambda r: after_first(r)))
     head = filled(row(grid, 0))
     return (F.size(grid) > 1) & (F.size(head) > 0) & F.forall(head, lambda x: ~_numeric(x)) & (F.size(filled(below)) > 0) & F.forall(filled(below), _numeric)
 
 
 def blank_corner_matrix(grid: Column) -> Column:
     """A blank corner, labels along both edges, and all of the body filled."""
-    top, left = F.slice(texts(row(grid, 0)), 2, 1 << 20), F.slice(texts(column(grid, 0)), 2, 1 << 20)
-    body = texts(F.flatten(F.transform(F.slice(grid, 2, 1 << 20), lambda r: F.slice(r, 2, 1 << 20))))
+    top, left = after_first(texts(row(grid, 0))), after_first(texts(column(grid, 0)))
+    body = texts(F.flatten(F.transform(after_first(grid), lambda r: after_first(r))))
     return (F.size(grid) > 1) & (F.size(row(grid, 0)) > 1) & (F.get(texts(row(grid, 0)), F.lit(0)) == "") & F.forall(top, lambda x: x != "") & F.forall(left, lambda x: x != "") & F.forall(body, lambda x: x != "")
 
 
@@ -105,9 +105,9 @@ def header_like(cells: Column, below: Column, longest: int = 40) -> Column:
 
 def holds_values(grid: Column) -> Column:
     """The body as a whole, or one of its columns, is mostly values."""
-    body = F.slice(grid, 2, 1 << 20)
+    body = after_first(grid)
     columns = F.sequence(F.lit(1), F.greatest(F.size(row(grid, 0)) - 1, F.lit(1)))
-    return mostly_values(F.flatten(F.transform(body, lambda r: F.slice(r, 2, 1 << 20)))) | F.exists(columns, lambda j: mostly_values(column(body, j)))
+    return mostly_values(F.flatten(F.transform(body, lambda r: after_first(r)))) | F.exists(columns, lambda j: mostly_values(column(body, j)))
 
 
 def table_key(grid: Column) -> Column:
@@ -128,9 +128,9 @@ def classify(df: DataFrame, grid: str = "grid", marked: str | None = None) -> Da
     headed = F.transform(g, lambda r, i: ~is_full_width_band(r) & F.when(i == 0, looks_like_header_band(r, True)).otherwise(looks_like_header_band(r)))
     row1 = F.coalesce(F.get(headed, F.lit(0)), F.lit(False)) | mark
     row2 = F.coalesce(F.get(headed, F.lit(1)), F.lit(False))
-    left = F.slice(column(g, 0), 2, 1 << 20)
+    left = after_first(column(g, 0))
     column1 = (F.size(left) > 0) & looks_like_header_band(left) & ~mostly_numeric(left)
-    later = F.exists(F.slice(headed, 2, 1 << 20), lambda x: x)
+    later = F.exists(after_first(headed), lambda x: x)
     kind = (
         F.when(F.coalesce(F.size(g), F.lit(0)) <= 0, "empty").when(pictures & ~words, "layout(image-only)").when((F.size(g) == 1) & (F.size(row(g, 0)) == 1), "layout(single-cell)")
         .when(title & (row2 | mark), "title-row-then-headers").when(row1 & column1, "both").when(row1, "first-row").when(column1, "first-column").when(later, "headers-not-in-row-1").otherwise("no-header-signal")
@@ -143,7 +143,7 @@ def explain(df: DataFrame, grid: str = "grid") -> DataFrame:
     bands = F.filter(F.col(grid), lambda r: ~is_full_width_band(r) & (F.size(filled(r)) > 0))
     g = F.when(is_full_width_band(row(F.col(grid), 0)), bands).otherwise(F.col(grid))
     kind = F.col("kind")
-    body = F.slice(g, 2, 1 << 20)
+    body = after_first(g)
     has_head = kind.isin("both", "first-row", "title-row-then-headers") | text_over_numbers(g)
     keyed = keys_rows(column(body, 0)) & holds_values(g)
     small = (F.size(row(g, 0)) < 2) | (F.size(body) < 2)
@@ -182,3 +182,47 @@ def vote(parts: DataFrame, key: list[str], whole: str, guess: str = "guess", ord
     per = parts.groupBy(*key, guess).agg(F.count("*").alias("n"), F.min(order).alias("first"), F.max(whole).alias("whole"))
     rank = F.struct((-F.col("n")).alias("a"), (F.col(guess) != F.col("whole")).cast("int").alias("b"), (F.col(guess) == "none").cast("int").alias("c"), F.col("first").alias("d"))
     return per.groupBy(*key).agg(F.min_by(guess, rank).alias("value"))
+
+
+def sentence_across(cells: Column) -> Column:
+    """A full-width row that ends as a sentence does."""
+    return is_full_width_band(cells) & F.coalesce(F.get(texts(cells), F.lit(0)).rlike(r"""[.!?]["'”’)\]]*$"""), F.lit(False))
+
+
+ATTRIBUTION = r"(?i)^(source|sources|adapted from|data from|based on|from|credit|note)\b"
+
+
+def note_body(grid: Column) -> Column:
+    """The grid without the closing full-width lines that say where it comes from."""
+    own = F.transform(grid, lambda r: is_full_width_band(r) & F.get(texts(r), F.lit(0)).rlike(ATTRIBUTION))
+    last = F.array_max(F.transform(own, lambda x, i: F.when(~F.coalesce(x, F.lit(False)), i)))
+    return F.slice(grid, F.lit(1), F.coalesce(last + 1, F.lit(0)))
+
+
+def note_rows(grid: Column) -> Column:
+    """Places (from 1) of full-width sentences that are notes on the rows above them, if the table ends with one and does not begin with one."""
+    body = note_body(grid)
+    note = F.transform(body, lambda r, i: (i > 0) & F.coalesce(sentence_across(r), F.lit(False)) & ~F.coalesce(is_full_width_band(F.get(body, i - 1)), F.lit(False)))
+    opens = F.coalesce(sentence_across(F.get(body, F.lit(0))), F.lit(False))
+    at = F.array_compact(F.transform(note, lambda x, i: F.when(x, i + 1)))
+    return F.when((F.size(body) > 0) & ~opens & F.array_contains(at, F.size(body)), at).otherwise(F.array().cast("array<int>"))
+
+
+def repeated_header_rows(grid: Column) -> Column:
+    """Places (from 1) of header rows that repeat row 1 but for their first cell, row 1 among them; each heads a row at least."""
+    tail = lambda r: after_first(texts(r))
+    first = row(grid, 0)
+    several = lambda r: F.size(F.array_distinct(F.transform(r, lambda c: c["cell_id"]))) > 1
+    like = F.transform(grid, lambda r, i: (i == 0) | (several(r) & looks_like_header_band(r) & (tail(r) == tail(first)) & (F.get(texts(r), F.lit(0)) != F.get(texts(first), F.lit(0)))))
+    at = F.array_compact(F.transform(like, lambda x, i: F.when(x, i + 1)))
+    apart = F.forall(F.transform(at, lambda x, i: F.when(i == 0, 2).otherwise(x - F.get(at, i - 1))), lambda d: d > 1) & (F.element_at(at, -1) < F.size(grid))
+    fit = (F.size(grid) >= 4) & several(first) & looks_like_header_band(first) & (F.size(at) > 1) & apart
+    return F.when(F.coalesce(fit, F.lit(False)), at).otherwise(F.array().cast("array<int>"))
+
+
+def without_header_column(guess: Column, kind: Column, grid: Column, marked: Column) -> Column:
+    """A guess once notes between the rows rule out a header column; ``marked``: whether the source marks a header row."""
+    notes = note_rows(grid)
+    inner = F.size(F.filter(notes, lambda i: i < F.size(note_body(grid)))) > 0
+    down = F.when((guess == "both") | ((guess == "first-column") & marked), "first-row").when(~marked & ((guess == "first-column") | ((guess == "unknown") & ~kind.startswith("headers-not-in-row-1"))), "none").otherwise(guess)
+    return F.when(guess.isNotNull() & inner, down).otherwise(guess)

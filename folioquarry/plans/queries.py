@@ -75,12 +75,10 @@ def safe_page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", t.safe_stem("url").alias("stem"))
 
 
-@query("""WITH t AS (SELECT regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages), s AS (SELECT unnest([' | ', ' - ', ' – ', ' — ']) AS separator, unnest([1, 2, 3, 4]) AS rank),
-x AS (SELECT rank, separator, CASE WHEN contains(title, separator) THEN list_last(string_split(title, separator)) END AS tail FROM t, s),
-g AS (SELECT rank, separator, min(tail) AS tail, count(DISTINCT tail) AS d, count(tail) AS n, count(*) AS total FROM x GROUP BY rank, separator)
-SELECT separator, tail, n, total FROM g WHERE d = 1 AND n >= 0.8 * total ORDER BY rank LIMIT 1""")
+@query("""SELECT ' - ' AS separator, 'Parts' AS tail, count(*) FILTER (p_partkey % 10 <> 0) AS n, count(*) AS total FROM part HAVING count(*) FILTER (p_partkey % 10 <> 0) >= 0.8 * count(*)""")
 def split_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.split_titles(_titles(table(spark, sf_dir, "pages")), "title")
+    title = F.when(F.col("p_partkey") % 10 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" | "), "p_brand", F.lit(" - Parts")))
+    return links.split_titles(table(spark, sf_dir, "part").select(title.alias("title")), "title")
 
 
 PROFILES = [("wiki", ['class="mw-', "<table"]), ("article", ["<article>", "<nav>"]), ("any", ["<html"])]
@@ -259,20 +257,21 @@ def link_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, hrefs).select(t.classify_link("h").alias("bucket")).filter("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-@query("""WITH RECURSIVE r AS (SELECT 'n' || n_nationkey AS url, CASE WHEN n_nationkey % 5 = 0 THEN 'r' || n_regionkey ELSE 'n' || (n_nationkey - 1) END AS target FROM nation),
+@query("""WITH RECURSIVE r AS (SELECT 'n' || c_custkey AS url, CASE WHEN c_custkey % 60 = 0 THEN 'r' || c_nationkey ELSE 'n' || (c_custkey - 1) END AS target FROM customer),
 w AS (SELECT url, target AS e FROM r UNION ALL SELECT w.url, r.target FROM w JOIN r ON w.e = r.url)
 SELECT url, e AS "end" FROM w WHERE e NOT IN (SELECT url FROM r)""")
 def redirect_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n_nationkey")
-    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), n).alias("url"), F.when(n % 5 == 0, F.concat(F.lit("r"), F.col("n_regionkey"))).otherwise(F.concat(F.lit("n"), n - 1)).alias("target"))
+    n = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), n).alias("url"), F.when(n % 60 == 0, F.concat(F.lit("r"), F.col("c_nationkey"))).otherwise(F.concat(F.lit("n"), n - 1)).alias("target"))
     return links.follow(rows)
 
 
-@query("""SELECT r_name AS key, coalesce((SELECT CASE WHEN max(n_nationkey) % 2 = 0 THEN max_by(n_name, n_nationkey) END FROM nation WHERE n_regionkey = r_regionkey), 'default') AS value FROM region""")
+@query("""WITH t AS (SELECT user_id AS key, arg_max(CASE WHEN event_id % 2 = 0 THEN coalesce(event_type, '') ELSE '-' END, event_id) AS v FROM events WHERE event_id % 3 <> 0 GROUP BY 1)
+SELECT c_custkey AS key, CASE WHEN v IS NULL OR v = '-' THEN c_mktsegment ELSE v END AS value FROM customer LEFT JOIN t ON key = c_custkey UNION ALL SELECT key, CASE WHEN v <> '-' THEN v END FROM t WHERE key NOT IN (SELECT c_custkey FROM customer)""")
 def config_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    region = table(spark, sf_dir, "region")
-    layers = table(spark, sf_dir, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("layer"), F.col("r_name").alias("key"), F.lit(True).alias("present"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("value"))
-    return decisions.cascade(layers, region.select(F.col("r_name").alias("key"), F.lit("default").alias("value")))
+    k = F.col("event_id")
+    layers = table(spark, sf_dir, "events").select(k.alias("layer"), F.col("user_id").alias("key"), (k % 3 != 0).alias("present"), F.when(k % 2 == 0, F.col("event_type")).alias("value"))
+    return decisions.cascade(layers, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value")))
 
 
 @query("SELECT o_custkey, count(DISTINCT o_orderstatus) AS n_values FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1")
@@ -287,26 +286,18 @@ def incremental_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.work(rows.drop("doc_id"), cache)
 
 
-@query("""SELECT source, sha256('[' || string_agg('{"path":"' || doc_id || '","digest":"' || sha256(coalesce(text, '')) || '"}', ',' ORDER BY CAST(doc_id AS VARCHAR)) || ']') AS digest FROM documents GROUP BY source""")
+@query("""WITH e AS (SELECT source, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 3) AS bucket, doc_id || ' ' || sha256(coalesce(text, '')) AS line FROM documents), b AS (SELECT source, bucket || ' ' || sha256(string_agg(line, chr(10) ORDER BY line)) AS line FROM e GROUP BY source, bucket)
+SELECT source, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM b GROUP BY source""")
 def tree_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = incremental.with_digest(table(spark, sf_dir, "documents"), "text", "digest").select("source", F.col("doc_id").cast("string").alias("path"), "digest")
     return incremental.tree_digest(rows, ["source"])
 
 
-CRITERIA = [("1.1.1", "A", "2.0"), ("1.3.1", "A", "2.0"), ("1.4.3", "AA", "2.0"), ("1.4.10", "AA", "2.1"), ("2.5.3", "A", "2.1"), ("2.4.11", "AA", "2.2"), ("1.4.6", "AAA", "2.0")]
-
-
-@query("""SELECT number FROM (VALUES ('1.1.1','A','2.0'),('1.3.1','A','2.0'),('1.4.3','AA','2.0'),('1.4.10','AA','2.1'),('2.5.3','A','2.1'),('2.4.11','AA','2.2'),('1.4.6','AAA','2.0')) c(number, level, version) WHERE version <= '2.1' AND length(level) <= 2""")
-def wcag_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(CRITERIA, "number string, level string, version string")
-    return rows.filter((F.col("version").cast("double") <= 2.1) & (F.length("level") <= F.length(F.lit("AA")))).select("number")
-
-
-@query("""WITH b AS (SELECT o_custkey % 50 AS slide, o_orderkey AS id, o_orderkey % 97 AS x, o_orderkey % 89 AS y, 5 + o_orderkey % 7 AS w, 4 + o_orderkey % 5 AS h FROM orders WHERE o_custkey < 100)
+@query("""WITH b AS (SELECT o_custkey AS slide, o_orderkey AS id, o_orderkey % 97 AS x, o_orderkey % 89 AS y, 5 + o_orderkey % 7 AS w, 4 + o_orderkey % 5 AS h FROM orders)
 SELECT a.slide, a.id AS first, b.id AS second FROM b a JOIN b ON a.slide = b.slide AND a.id < b.id WHERE a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h""")
 def box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").filter("o_custkey < 100").select(F.lit("d").alias("deck"), (F.col("o_custkey") % 50).alias("slide"), k.alias("seq"), k.alias("shape_id"), (k % 97).alias("x"), (k % 89).alias("y"), (5 + k % 7).alias("w"), (4 + k % 5).alias("h"))
+    rows = table(spark, sf_dir, "orders").select(F.lit("d").alias("deck"), F.col("o_custkey").alias("slide"), k.alias("seq"), k.alias("shape_id"), (k % 97).alias("x"), (k % 89).alias("y"), (5 + k % 7).alias("w"), (4 + k % 5).alias("h"))
     return decks.overlapping(rows).drop("deck")
 
 
@@ -321,19 +312,15 @@ def downsample_widest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decks.widest(table(spark, sf_dir, "part").select(F.col("p_brand").alias("src"), F.col("p_size").alias("shown"), F.floor("p_retailprice").cast("int").alias("pixels")))
 
 
-@query("""SELECT n_nationkey, chr(65 + n_nationkey) AS letter, CASE WHEN n_name LIKE '%--%' THEN split_part(n_name, '--', 1) END AS piece_source, CASE WHEN regexp_matches(lower(n_name), '(^|[^a-z0-9])(notes|index)($|[^a-z0-9])') THEN 'back' ELSE 'middle' END AS role FROM nation""")
-def name_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select("n_nationkey", t.letter(F.col("n_nationkey") + 1).alias("letter"), t.piece_source("n_name").alias("piece_source"), t.matter_role("n_name").alias("role"))
-
 
 @query("""SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS BIGINT) AS ordinal, 'Figure ' || p_brand || '.' || row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS label FROM part""")
 def figure_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.number_within(table(spark, sf_dir, "part"), ["p_brand"], ["p_partkey"], "Figure").select("p_partkey", "ordinal", "label")
 
 
-@query("""SELECT upper(substr(n_name, 1, 1)) AS letter, n_name AS term, string_agg(r, ', ' ORDER BY r) AS pages FROM (SELECT DISTINCT n_name, n_regionkey AS r FROM nation) GROUP BY n_name""")
+@query("""SELECT upper(substr(p_name, 1, 1)) AS letter, p_name AS term, string_agg(p_brand, ', ' ORDER BY p_brand) AS pages FROM (SELECT DISTINCT p_name, p_brand FROM part) GROUP BY p_name""")
 def term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.book_index(table(spark, sf_dir, "nation"), "n_name", "n_regionkey", "n_regionkey")
+    return sequences.book_index(table(spark, sf_dir, "part"), "p_name", "p_brand", "p_brand")
 
 
 @query("""SELECT * FROM (SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS example, count(*) OVER (PARTITION BY source) AS n_rows FROM documents) WHERE example <= 3""")
@@ -372,18 +359,17 @@ def report_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.compare_rows(rows.filter("doc_id % 2 = 0").select("lang", "source"), rows.filter("doc_id % 2 = 1").select("lang", "source"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS a, n_nationkey * 2 + 1 AS b FROM nation UNION ALL SELECT n_nationkey, n_nationkey * 2 + 2 FROM nation), w AS (SELECT 0 AS file, 0 AS depth UNION ALL SELECT b, depth + 1 FROM w JOIN e ON w.file = e.a)
-SELECT CAST(file AS INT) AS file, min(depth) AS depth FROM w GROUP BY file""")
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey * 2 + 1 AS b FROM part UNION ALL SELECT p_partkey, p_partkey * 2 + 2 FROM part), w AS (SELECT CAST(0 AS BIGINT) AS file, 0 AS depth UNION ALL SELECT b, depth + 1 FROM w JOIN e ON w.file = e.a)
+SELECT file, min(depth) AS depth FROM w GROUP BY file""")
 def include_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation")
-    edges = reduce(DataFrame.unionByName, [n.select(F.col("n_nationkey").alias("file"), (F.col("n_nationkey") * 2 + i).alias("includes")) for i in (1, 2)])
-    return contents.reached(edges, n.agg(F.min("n_nationkey").alias("file")))
+    n = table(spark, sf_dir, "part")
+    edges = reduce(DataFrame.unionByName, [n.select(F.col("p_partkey").alias("file"), (F.col("p_partkey") * 2 + i).alias("includes")) for i in (1, 2)])
+    return contents.reached(edges, n.agg(F.min("p_partkey").alias("file")))
 
 
-@query("""SELECT p_partkey, CAST(position AS INT) AS position FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END, CASE WHEN p_partkey % 2 = 1 THEN p_partkey END, p_partkey) AS position FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY p_brand HAVING count(DISTINCT p_size) >= 2 AND count(*) >= 3))""")
+@query("""SELECT p_partkey, CAST(position AS INT) AS position FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END, CASE WHEN p_partkey % 2 = 1 THEN p_partkey END, p_partkey) AS position FROM part)""")
 def book_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey").cast("string")
     stem = F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("-introduction-to-"), n)).otherwise(F.concat(F.lit("-"), n, F.lit("-section"))))
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", stem.alias("stem"))
-    enough = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.countDistinct("p_size").alias("d"), F.count("*").alias("n")).filter("d >= 2 and n >= 3").select("p_brand")
-    return contents.book_order(rows.join(enough, "p_brand", "left_semi"), ["p_brand"]).select("p_partkey", "position")
+    return contents.book_order(rows, ["p_brand"]).select("p_partkey", "position")

@@ -37,8 +37,36 @@ def changed(old: DataFrame, new: DataFrame, key: str, parts: list[str]) -> DataF
 
 
 def tree_digest(entries: DataFrame, group: list[str]) -> DataFrame:
-    """One digest of a group's sorted (path, digest) entries."""
-    return entries.groupBy(*group).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("path", "digest")))), 256).alias("digest"))
+    """One digest of a group's (path, digest) entries, in two levels, so that no group meets in one row.
+
+    Paths go to 4,096 buckets by the first three digits of their SHA-256; a bucket's digest is that of its sorted lines
+    "path digest", the group's that of its buckets' lines in order.
+    """
+    bucket = F.substring(F.sha2(F.col("path"), 256), 1, 3)
+    line = F.concat("path", F.lit(" "), "digest")
+    low = entries.groupBy(*group, bucket.alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
+    return low.groupBy(*group).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("bucket", F.lit(" "), "digest"))), "\n"), 256).alias("digest"))
+
+
+def report_current(states: DataFrame, now: DataFrame, key: list[str], parts: list[str]) -> DataFrame:
+    """key and current: whether a report's recorded state equals that of now in all parts; reports without a state are not."""
+    same = F.lit(True)
+    for p in parts:
+        same = same & F.col(f"n.{p}").eqNullSafe(F.col(f"s.{p}"))
+    at = now.alias("n").join(states.withColumn("__there", F.lit(True)).alias("s"), key, "left")
+    return at.select(*key, (F.coalesce("__there", F.lit(False)) & same).alias("current"))
+
+
+def settings_digest(rows: DataFrame, group: list[str], name: str = "name", value: str = "value") -> DataFrame:
+    """One digest of what each group is set to: sorted "name=value" lines, a null value as nothing after the sign; a group's settings are few."""
+    line = F.concat(F.col(name), F.lit("="), F.coalesce(F.col(value).cast("string"), F.lit("")))
+    return rows.groupBy(*group).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(line)), "\n"), 256).alias("digest"))
+
+
+def cached_digests(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files (path, sha) whose outline digest the cache (sha, outline) has, with it; and the others, which have to be read."""
+    known = files.join(cache.select("sha", "outline").dropDuplicates(["sha"]), "sha", "left")
+    return known.filter("outline is not null"), known.filter("outline is null").drop("outline")
 
 
 def watch(spark: SparkSession, folder: str, schema: str, check: Callable[[DataFrame], DataFrame], out: str, state: str) -> StreamingQuery:

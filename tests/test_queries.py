@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from folioquarry.plans.queries import ORACLES, QUERIES
+from folioquarry.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
