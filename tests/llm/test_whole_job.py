@@ -13,11 +13,12 @@ from folioquarry.llm import dart_minhash, html_tree, knn_quality, license_index,
 
 def test_every_licence_template_is_found_by_its_own_text(spark):
     templates = license_index.TEMPLATES
-    rows = [(i, text) for i, (_, text, _) in enumerate(templates)] + [(100, "Licensed under CC BY-SA 4.0."), (101, "stand by a sa cc 4")]
+    told = lambda text, keys: f"Licensed under the {text}." if keys == [text] else text
+    rows = [(i, told(text, keys)) for i, (_, text, keys) in enumerate(templates)] + [(1000, "Licensed under CC BY-SA 4.0."), (1001, "stand by a sa cc 4")]
     got = {r.doc_id: r for r in license_index.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, (label, _, _) in enumerate(templates):
         assert label in got[i].method_labels.split(",") and got[i].score == pytest.approx(1.0)
-    assert (got[100].labels, got[100].method_labels, got[101].labels) == ("cc-by-sa", "cc-by-sa", "")
+    assert (got[1000].labels, got[1000].method_labels, got[1001].labels) == ("cc-by-sa", "cc-by-sa", "")
 
 
 def test_no_licence_template_is_left_out_of_the_index():
