@@ -1,8 +1,9 @@
 """Operator 9: secret scan.
 
 Base rules find assigned secrets, access keys and long hexadecimal strings.  The method adds candidate strings
-(maximal runs of key characters) in which a sliding window reaches the Shannon entropy of its character class;
-counts change by one character in and one out a step.  An allow-list suppresses known harmless forms.
+(maximal runs of key characters, dots within them as in signed tokens) in which a sliding window reaches the Shannon
+entropy of its character class; counts change by one character in and one out a step.  An allow-list suppresses known
+harmless forms: identifiers, digits alone, words, paths and file names, versions, hosts.
 
 Defined results: null and empty texts have no spans; of overlapping spans of one kind the leftmost holds, and an
 added span never overlaps a base one; repeated rows give repeated results; an empty table gives no rows; kept
@@ -27,16 +28,20 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Window, and the entropy in bits a character that a window must reach, by class of the candidate's characters.
-WINDOW = 20
-CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+"), 3.0), ("alphanumeric", re.compile(r"[0-9A-Za-z]+"), 3.6), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.8))
-#: Forms that are no secrets: identifiers, digits alone, dashed words, paths of words.
+#: Characters of a candidate at least, and of the window; shorter candidates are one window, their limit being scaled.
+LEAST, WINDOW = 16, 20
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{16,}")
+#: The entropy in bits a character that a window must reach, by class of the candidate's characters.
+CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+"), 3.0), ("alphanumeric", re.compile(r"[0-9A-Za-z]+"), 3.6), ("base64", re.compile(r"[A-Za-z0-9+/_=~.-]+"), 3.8))
+#: Forms that are no secrets.
+_NAME = r"[A-Za-z]{1,14}[0-9]{0,4}|[0-9]{1,5}[A-Za-z]{0,2}"
 ALLOWED = (
-    re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"[0-9+/_=-]+"),
-    re.compile(r"([A-Za-z]{1,14}[0-9]{0,4}[/_=-]+)*[A-Za-z]{1,14}[0-9]{0,4}[/_=-]*"),
+    re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # identifiers
+    re.compile(r"[0-9+/_=.~-]+"),  # numbers, dates, addresses
+    re.compile(rf"[/._=~-]*(({_NAME})[/._=~-]+)*({_NAME})[/._=~-]*"),  # words, paths, versions, hosts
 )
+#: Upper-case share of letters, and the longest lower-case run, of a key without digits.
+_MIXED, _LONGEST = (0.25, 0.75), re.compile(r"[a-z]{6,}")
 
 
 def window_entropy(text: str, window: int = WINDOW) -> float:
@@ -57,11 +62,28 @@ def window_entropy(text: str, window: int = WINDOW) -> float:
     return best
 
 
+def _jumbled(text: str) -> bool:
+    """Whether letters without a digit are mixed as no name mixes them."""
+    letters = [c for c in text if c.isalpha()]
+    return bool(letters) and _MIXED[0] <= sum(c.isupper() for c in letters) / len(letters) <= _MIXED[1] and not _LONGEST.search(text)
+
+
 def high_entropy(text: str) -> bool:
     """Whether a candidate is of mixed characters, not allowed, and has a window with its class's entropy."""
-    if not any(c.isdigit() for c in text) or any(a.fullmatch(text) for a in ALLOWED):
+    if len(text) < LEAST or any(a.fullmatch(text) for a in ALLOWED) or not any(c.isdigit() for c in text) and not _jumbled(text):
         return False
-    return next(window_entropy(text) >= least for _, form, least in CLASSES if form.fullmatch(text))
+    window = min(len(text), WINDOW)
+    scale = math.log2(window) / math.log2(WINDOW)
+    return next(window_entropy(text, window) >= least * scale for _, form, least in CLASSES if form.fullmatch(text))
+
+
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """A candidate without the marks that open and close a sentence or a quotation."""
+    while a < b and text[a] in ".=~-":
+        a += 1
+    while a < b and text[b - 1] in ".~-":
+        b -= 1
+    return a, b
 
 
 def base_spans(text: str, low: str | None = None) -> list[tuple[int, int, str]]:
@@ -80,7 +102,7 @@ def find(texts: list[str | None]) -> list[tuple[list, list]]:
     Long runs lie within long words, so the words' table tells which texts need the patterns for those.
     """
     w = Words(texts)
-    long = np.bincount(w.doc[(w.end - w.start) >= WINDOW], minlength=len(texts)) > 0
+    long = np.bincount(w.doc[(w.end - w.start) >= LEAST], minlength=len(texts)) > 0
     hexes = np.bincount(w.doc[(w.end - w.start) >= 32], minlength=len(texts)) > 0
     out = []
     for i, text in enumerate(texts):
@@ -92,8 +114,9 @@ def find(texts: list[str | None]) -> list[tuple[list, list]]:
         added = []
         if long[i]:
             for m in _CANDIDATE.finditer(text):
-                if not any(a < m.end() and m.start() < b for a, b, _ in base) and high_entropy(m[0]):
-                    added.append((m.start(), m.end(), "entropy"))
+                x, y = _trimmed(text, m.start(), m.end())
+                if not any(a < y and x < b for a, b, _ in base) and high_entropy(text[x:y]):
+                    added.append((x, y, "entropy"))
         out.append((base, added))
     return out
 
