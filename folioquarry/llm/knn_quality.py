@@ -8,7 +8,7 @@ their similarity as weight.
 The sample has ``per_label`` rows of each label at most (those of smallest id hash), which bounds what is
 broadcast.  Defined results: an empty or null text has no direction and scores 0; without labels all score 0.5;
 ties between neighbours go to the earlier sample row; a document that repeats in the labels counts by its
-lowest label; repeated rows give repeated results; only the named columns are read, so further ones cannot clash.
+lowest label, and by its text of smallest hash where its id has several; repeated rows give repeated results; only the named columns are read, so further ones cannot clash.
 """
 
 from __future__ import annotations
@@ -77,17 +77,18 @@ class Model:
         for a in range(0, len(texts), 256):
             x = self.latent(*counts(texts[a : a + 256]))
             cosine = x @ self.vectors.T
-            k = min(NEIGHBOURS, cosine.shape[1])
-            best = np.argsort(-np.round(cosine, 5), axis=1, kind="stable")[:, :k] if cosine.shape[1] <= 64 else _top(cosine, k)
-            weight = np.maximum(np.take_along_axis(cosine, best, 1), 0)
-            out[a : a + 256] = (weight * self.labels[best]).sum(1) / np.maximum(weight.sum(1), 1e-9)
+            weight = np.where(nearest(cosine, NEIGHBOURS), np.maximum(cosine, 0), 0)
+            out[a : a + 256] = weight @ self.labels / np.maximum(weight.sum(1), 1e-9)
         return np.clip(out, 0, 1)
 
 
-def _top(cosine: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k largest in each row; among equals the smaller column."""
-    key = np.round(cosine, 5) * 1e5 - np.arange(cosine.shape[1]) / cosine.shape[1] * 0.5
-    return np.argpartition(-key, k - 1, axis=1)[:, :k]
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the k largest in each row; of those that equal the k-th (to a part in 10^9) the first columns."""
+    if cosine.shape[1] <= k:
+        return np.ones(cosine.shape, bool)
+    last = np.partition(cosine, -k, axis=1)[:, -k, None]
+    above, equal = cosine > last + 1e-9, np.abs(cosine - last) <= 1e-9
+    return above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True)))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -124,14 +125,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.filter(~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"))
     parts = [known.filter(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(per_label) for y in (0, 1)]
     sample = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * per_label rows of two numbers at most
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(sample, "id")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("raw"), F.col(f"`{text_col}`").cast("string").alias("text")).join(sample, "id")
 
     def kernel(texts: list[str | None]) -> list[list]:
         grams, forms = counts(texts)
         return [[g.astype("<u4").tobytes() for g in grams], [f.astype("<f8").tobytes() for f in forms]]
 
     fields = T.StructType([T.StructField("grams", T.BinaryType()), T.StructField("forms", T.BinaryType())])
-    got = over_texts(rows, "text", kernel, fields, ["id", "label"]).toArrow().to_pandas().drop_duplicates("id").sort_values("id")
+    got = over_texts(rows, "text", kernel, fields, ["id", "label", "raw"]).toArrow().to_pandas().sort_values(["id", "raw"]).drop_duplicates("id")
     if got.empty:
         return Model(np.zeros(SLOTS), np.zeros((SLOTS + FORMS, 1)), np.zeros((0, 1)), np.zeros(0))
     grams = np.stack([np.frombuffer(b, "<u4") for b in got["grams"]]).astype(np.int64)
