@@ -34,6 +34,7 @@ _P_ENDS = frozenset("address article aside blockquote center details dialog dir
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 SLOTS = 2048
 
 
@@ -70,13 +71,13 @@ class Page:
                 j = s.find(">", i)
                 if i + 1 < len(s) and (s[i + 1] in "!?/" or s[i + 1].isalpha()):
                     quotes = quotes and not s[i + 1].isalpha()  # a quote that never ends
-                    plain = re.match(r"<(/?)([A-Za-z][^\s/>]*)", s[i : i + 80])
+                    plain = _NAME.match(s, i)
                     if j < 0:
                         break  # cut within a tag
                     at = j + 1
                     if not plain:
                         continue
-                    closing, name, rest = plain[1], plain[2].lower(), s[i + plain.end() : j]
+                    closing, name, rest = plain[1], plain[2].lower(), s[plain.end() : j]
                 else:
                     if not self._hidden:
                         self._text(stack[-1][1], "<")
