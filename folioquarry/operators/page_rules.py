@@ -39,7 +39,8 @@ def document_rules() -> list[Column]:
         F.when(F.col("parse_error").isNotNull(), _found("not-well-formed", F.col("parse_error"))),
     ]
     bare = F.col("scripts") == 0
-    return [F.array_compact(F.array(*one)), _each("tex_formulas", lambda x, i: bare, "formula-shown-as-tex", lambda x, i: _cut(x)), _each("text_formulas", lambda x, i: bare, "formula-kept-as-text", lambda x, i: _cut(x))]
+    dropped = _each("dropped_files", lambda x, i: x != "", "link-to-file-dropped", lambda x, i: x)
+    return [F.array_compact(F.array(*one)), dropped, _each("tex_formulas", lambda x, i: bare, "formula-shown-as-tex", lambda x, i: _cut(x)), _each("text_formulas", lambda x, i: bare, "formula-kept-as-text", lambda x, i: _cut(x))]
 
 
 def id_rules() -> list[Column]:

@@ -110,13 +110,18 @@ def holds_values(grid: Column) -> Column:
     return mostly_values(F.flatten(F.transform(body, lambda r: after_first(r)))) | F.exists(columns, lambda j: mostly_values(column(body, j)))
 
 
-def table_key(grid: Column) -> Column:
-    """SHA-256 of all cell texts, row by row, and of the shape."""
-    body = F.array_join(F.transform(grid, lambda r: F.array_join(texts(r), "\x1f")), "\x1e")
-    shape = F.concat(F.size(grid).cast("string"), F.lit("x"), F.coalesce(F.array_max(F.transform(grid, F.size)), F.lit(0)).cast("string"))
+def table_digest(cells: Column) -> Column:
+    """SHA-256 of all cell texts (an array of rows of texts), row by row, and of the shape."""
+    body = F.array_join(F.transform(cells, lambda r: F.array_join(F.transform(r, F.trim), "\x1f")), "\x1e")
+    shape = F.concat(F.size(cells).cast("string"), F.lit("x"), F.coalesce(F.array_max(F.transform(cells, F.size)), F.lit(0)).cast("string"))
     return F.sha2(F.concat(body, F.lit("\x1d"), shape), 256)
 
 
+def table_key(grid: Column) -> Column:
+    """The digest of a grid."""
+    return table_digest(F.transform(grid, texts))
+
+
 def classify(df: DataFrame, grid: str = "grid", marked: str | None = None) -> DataFrame:
     """kind of each table, by the first rule that holds; ``marked``: whether row 1 repeats as a heading."""
     g = F.col(grid)

@@ -22,10 +22,59 @@ def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return rows.filter(~F.regexp_extract("path", "([^/]*)$", 1).startswith("~$"))
 
 
+def kind_of(content: bytes) -> str | None:
+    """What a file is by its bytes: warc, epub, cartridge, deck, word, zip, mhtml, html, or None."""
+    if content[:5] == b"WARC/":
+        return "warc"
+    if content[:2] == b"\x1f\x8b":
+        try:
+            return "warc" if zlib.decompressobj(31).decompress(content[:4096], 5) == b"WARC/" else None
+        except zlib.error:
+            return None
+    if content[:4] == b"PK\x03\x04":
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                names = set(z.namelist())
+        except zipfile.BadZipFile:
+            return None
+        if any(re.match(r"archive/.*\.warc", n) for n in names):
+            return "warc"
+        parts = {"META-INF/container.xml": "epub", "imsmanifest.xml": "cartridge", "ppt/presentation.xml": "deck", "word/document.xml": "word"}
+        return next((kind for n, kind in parts.items() if n in names), "zip")
+    head = content[:4096].lstrip(b"\xef\xbb\xbf \t\r\n").lower()
+    if re.search(rb"(?m)^mime-version:", head) and b"multipart/" in head:
+        return "mhtml"
+    return "html" if head.startswith((b"<!doctype html", b"<html", b"<!--", b"<head", b"<body")) else None
+
+
+def with_kind(rows: DataFrame) -> DataFrame:
+    """kind of every file, told from its content."""
+
+    @F.pandas_udf("string")
+    def kind(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else kind_of(bytes(v)))
+
+    return rows.withColumn("kind", kind("content"))
+
+
 def is_warc() -> F.Column:
-    """Whether content is a crawl archive, plain or gzip, or a zip that may hold one, by its first bytes."""
-    head = F.hex(F.substring("content", 1, 5))
-    return head.startswith("574152432F") | head.startswith("1F8B08") | head.startswith("504B0304")
+    """Whether content is a crawl archive: plain, gzip, or a zip that holds one."""
+
+    @F.pandas_udf("boolean")
+    def told(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: v is not None and kind_of(bytes(v)) == "warc")
+
+    return told("content")
+
+
+def load_site(rows: DataFrame) -> DataFrame:
+    """url and html of the pages of any crawl archives, MIME pages and saved pages among the files; a url's first source by path stays."""
+    known = with_kind(rows)
+    crawl = read_warc(known.filter("kind = 'warc'")).filter("type = 'response' and status = 200 and content_type like 'text/html%'").select("path", "seq", "url", F.decode("body", "UTF-8").alias("html"))
+    mime = read_mhtml(known.filter("kind = 'mhtml'")).filter("mime = 'text/html' and url is not null").select("path", F.col("part").cast("long").alias("seq"), "url", F.decode("body", "UTF-8").alias("html"))
+    saved = saved_pages(known.filter("kind = 'html'")).select("path", F.lit(0).cast("long").alias("seq"), "url", "html")
+    every = crawl.unionByName(mime).unionByName(saved)
+    return every.groupBy("url").agg(F.min_by("html", F.struct("path", "seq")).alias("html"), F.min("path").alias("path"), (F.count("*") - 1).alias("n_more"))
 
 
 def _mapped(rows: DataFrame, one: Callable[[str, bytes], list[tuple]], schema: str) -> DataFrame:
@@ -71,8 +120,13 @@ def http_response(block: bytes) -> tuple[int, dict[str, str], bytes]:
             parts.append(body[end + 2 : end + 2 + size])
             at = end + size + 4
         body = b"".join(parts) or body
-    if heads.get("content-encoding", "").lower() == "gzip" and body[:2] == b"\x1f\x8b":
-        body = zlib.decompressobj(31).decompress(body)
+    for coding in reversed([c.strip() for c in heads.get("content-encoding", "").lower().split(",")]):
+        if coding in ("gzip", "x-gzip"):
+            body = zlib.decompressobj(31).decompress(body) if body[:2] == b"\x1f\x8b" else body
+        elif coding == "deflate":  # with a header as the standard has it, or without one as some servers send it
+            body = zlib.decompressobj(15 if body[:1] and body[0] & 15 == 8 and int.from_bytes(body[:2], "big") % 31 == 0 else -15).decompress(body)
+        elif coding not in ("", "identity"):
+            raise ValueError(f"a body in {coding!r} cannot be read")
     status = re.match(r"HTTP/\S+\s+(\d{3})", first)
     return int(status[1]) if status else 0, heads, body
 
@@ -151,6 +205,89 @@ def read_epub(rows: DataFrame) -> DataFrame:
     return _mapped(rows, epub_rows, "path string, id string, member string, mime string, spine int, held boolean, html string").orderBy("path", F.asc_nulls_last("spine"), "member")
 
 
+def _package(z: zipfile.ZipFile) -> tuple[str, ET.Element]:
+    root = next(e.get("full-path") for e in _xml(z.read("META-INF/container.xml")).iter() if _name(e) == "rootfile")
+    return root, _xml(z.read(root))
+
+
+def epub_metadata_rows(path: str, content: bytes) -> list[tuple]:
+    """A row for each metadata entry: its name without prefix, or the property of a meta element, and its text."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        package = _package(z)[1]
+    found = [x for e in package.iter() if _name(e) == "metadata" for x in e]
+    rows = [(x.get("property") or x.get("name") if _name(x) == "meta" else _name(x), " ".join((x.text or x.get("content") or "").split())) for x in found]
+    return [(path, i, n, v) for i, (n, v) in enumerate(rows) if n and v]
+
+
+def read_epub_metadata(rows: DataFrame) -> DataFrame:
+    return _mapped(rows, epub_metadata_rows, "path string, pos int, name string, value string")
+
+
+def epub_outline_rows(path: str, content: bytes) -> list[tuple]:
+    """Entries of the navigation document, or of the older table of contents where there is none: place, depth, title, member, fragment."""
+    from posixpath import dirname, join, normpath
+    from urllib.parse import unquote
+
+    def entry(base: str, depth: int, title: str, target: str | None) -> tuple:
+        file, _, fragment = (target or "").partition("#")
+        return depth, " ".join(title.split()), normpath(join(dirname(base), unquote(file))) if file else (base if target else None), fragment or None
+
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        root, package = _package(z)
+        items = [e for e in package.iter() if _name(e) == "item"]
+        nav = next((e for e in items if "nav" in (e.get("properties") or "").split()), None)
+        ncx = next((e for e in items if e.get("media-type") == "application/x-dtbncx+xml"), None)
+        chosen = nav if nav is not None else ncx
+        if chosen is None:
+            return []
+        member = normpath(join(dirname(root), chosen.get("href", "")))
+        tree = _xml(z.read(member))
+    found: list[tuple] = []
+    if nav is not None:
+        navs = [e for e in tree.iter() if _name(e) == "nav"]
+        toc = next((e for e in navs if any(k.endswith("type") and "toc" in v.split() for k, v in e.attrib.items())), navs[0] if navs else None)
+        todo = [(e, 0) for e in (toc if toc is not None else []) if _name(e) == "ol"]
+        while todo:
+            e, depth = todo.pop(0)
+            if _name(e) == "li":
+                label = next((c for c in e if _name(c) in ("a", "span")), None)
+                if label is not None:
+                    found.append(entry(member, depth, "".join(label.itertext()), label.get("href")))
+                todo = [(c, depth + 1) for c in e if _name(c) == "ol"] + todo
+            else:
+                todo = [(c, depth) for c in e if _name(c) == "li"] + todo
+    else:
+        todo = [(c, 0) for e in tree.iter() if _name(e) == "navMap" for c in e if _name(c) == "navPoint"]
+        while todo:
+            e, depth = todo.pop(0)
+            title = next(("".join(c.itertext()) for c in e if _name(c) == "navLabel"), "")
+            found.append(entry(member, depth, title, next((c.get("src") for c in e if _name(c) == "content"), None)))
+            todo = [(c, depth + 1) for c in e if _name(c) == "navPoint"] + todo
+    return [(path, i, *x) for i, x in enumerate(found)]
+
+
+def read_epub_outline(rows: DataFrame) -> DataFrame:
+    return _mapped(rows, epub_outline_rows, "path string, pos int, depth int, title string, member string, fragment string")
+
+
+def collection_rows(path: str, content: bytes) -> list[tuple]:
+    """Entries of a book's collection file: place, depth, title and the module (null for a subcollection)."""
+    out: list[tuple] = []
+    todo = [(e, 0) for e in _xml(content).iter() if _name(e) == "content"][:1]
+    while todo:
+        e, depth = todo.pop(0)
+        title = next((" ".join("".join(c.itertext()).split()) for c in e if _name(c) == "title"), None)
+        if _name(e) in ("subcollection", "module"):
+            out.append((path, len(out), depth, title, e.get("document") if _name(e) == "module" else None))
+        inner = [c for x in e if _name(x) == "content" for c in x] if _name(e) == "subcollection" else list(e) if _name(e) == "content" else []
+        todo = [(c, depth + (_name(e) == "subcollection")) for c in inner if _name(c) in ("subcollection", "module")] + todo
+    return out
+
+
+def read_collections(rows: DataFrame) -> DataFrame:
+    return _mapped(rows, collection_rows, "path string, pos int, depth int, title string, module string")
+
+
 def cartridge_rows(path: str, content: bytes) -> list[tuple]:
     """Entries of a cartridge's organization: place, depth, title, resource, its type and file."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
