@@ -112,7 +112,7 @@ def holds_values(grid: Column) -> Column:
 
 def table_digest(cells: Column) -> Column:
     """SHA-256 of all cell texts (an array of rows of texts), row by row, and of the shape."""
-    body = F.array_join(F.transform(cells, lambda r: F.array_join(F.transform(r, F.trim), "\x1f")), "\x1e")
+    body = F.array_join(F.transform(cells, lambda r: F.array_join(F.transform(r, lambda x: F.trim(x)), "\x1f")), "\x1e")
     shape = F.concat(F.size(cells).cast("string"), F.lit("x"), F.coalesce(F.array_max(F.transform(cells, F.size)), F.lit(0)).cast("string"))
     return F.sha2(F.concat(body, F.lit("\x1d"), shape), 256)
 
