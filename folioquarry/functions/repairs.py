@@ -96,6 +96,78 @@ def skip_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
+# Characters of equations and what they mean, in order; the first list holds within text too.
+LOOKALIKES = [("\u00b5", "\u03bc"), ("\u2206", "\u0394")]
+COMMANDS = [("\\overset{\u00af}{", "\\bar{"), ("\\overset{\u2013}{", "\\bar{"), ("\u0177", "\\hat{y}"), ("\u0176", "\\hat{Y}"), ("_{\u00d8}", "_{0}"), ("\u00b7", "\\cdot ")]
+DASH, MINUS = "\u2013", "\u2212"
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0370-\u03ff"
+#: A dash between two letters (a bond), two digits (a range) or beside another dash stays one.
+_SIGN = re.compile(f"(?<!{DASH}){DASH}(?!{DASH})")
+
+
+def _text_signs(body: str) -> str:
+    def sign(m: re.Match) -> str:
+        a, b = body[m.start() - 1 : m.start()], body[m.end() : m.end() + 1]
+        alike = any(re.fullmatch(f"[{k}]", a) and re.fullmatch(f"[{k}]", b) for k in (_LETTER, "0-9"))
+        return DASH if alike else MINUS
+
+    return _SIGN.sub(sign, body)
+
+
+def repair_tex(tex: str) -> str:
+    """An equation with look-alikes as the characters they mean and dashes as signs, its own text by the rules of text.
+
+    A text that is one dash is the sign itself; one set over or under something as its mark stays.
+    """
+    for old, new in LOOKALIKES:
+        tex = tex.replace(old, new)
+    out, at = [], 0
+
+    def maths(part: str) -> str:
+        for old, new in COMMANDS:
+            part = part.replace(old, new)
+        return part.replace(DASH, "-")
+
+    for m in re.finditer(r"\\text\{", tex):
+        if m.start() < at:
+            continue
+        depth, end = 1, m.end()
+        while end < len(tex) and depth:
+            depth += {"{": 1, "}": -1}.get(tex[end], 0)
+            end += 1
+        if depth:
+            break
+        body = tex[m.end() : end - 1]
+        mark = re.search(r"\\(?:under|over)set\{$", tex[: m.start()])
+        out.append(maths(tex[at : m.start()]))
+        if not mark and re.sub(r"\\ |[ ~\u00a0]", "", body) == DASH:
+            out.append("-")
+        else:
+            out.append(f"\\text{{{body if mark else _text_signs(body)}}}")
+        at = end
+    return "".join(out) + maths(tex[at:])
+
+
+_OPENS = r"(?<![^\s(\[{=<>\u2264\u2265\u2260+\u00d7\u00f7*/,;:])"
+_OPERAND = r"[0-9]+(?:[.,][0-9]+)*|[A-Za-z]|\)"
+_RELATION = re.compile(r"[=<>\u2264\u2265\u2260\u2248]|\bequals?\b")
+
+
+def minus_in_text(text: str) -> str:
+    """Dashes that are signs in running text: before a number that stands at the start or after a sign, and between operands of an equation.
+
+    A clause counts as an equation if it has a relation; ranges (5\u20139) and dashes between words stay.
+    """
+
+    def clause(part: str) -> str:
+        part = re.sub(rf"{_OPENS}{DASH}(?=[0-9]|\.[0-9])", MINUS, part)
+        if _RELATION.search(part):
+            part = re.sub(rf"((?:(?<![A-Za-z0-9])|(?<=[0-9]))(?:{_OPERAND}))( ?){DASH}( ?)(?=(?:[0-9]+|[A-Za-z](?![A-Za-z])|\())", rf"\1\2{MINUS}\3", part)
+        return part
+
+    return "".join(clause(x) if i % 2 == 0 else x for i, x in enumerate(re.split(r"([;:!?]\s|\.\s)", text)))
+
+
 class _Tree(HTMLParser):
     """Elements of a page with their parents and texts."""
 
@@ -168,6 +240,14 @@ def unspelled(column: Column | str) -> Column:
     return mapped(column, unspell, "string")
 
 
+def equations_repaired(column: Column | str) -> Column:
+    return mapped(column, repair_tex, "string")
+
+
+def minus_signs(column: Column | str) -> Column:
+    return mapped(column, minus_in_text, "string")
+
+
 def headers_as_data(column: Column | str) -> Column:
     return mapped(column, empty_as_data, "string")
 

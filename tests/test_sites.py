@@ -64,3 +64,37 @@ def test_repairs():
     assert repairs.selected("<div class='a b'><p id=x>One <i>two</i></p></div><p>no</p>", ".a p") == ["One two"]
     text = "\\begin{verbatim}%x\\end{verbatim} \\url{a%b} 5\\% % note\n\\lstinline{x%y} z"
     assert [text[a:b] for a, b in repairs.skip_spans(text)] == ["\\begin{verbatim}%x\\end{verbatim}", "{a%b}", "% note", "\\lstinline{x%y}"]
+
+
+def test_equations():
+    cases = {"x – 1 µ": "x - 1 μ", "\\text{–}3": "-3", "\\text{H–Cl}": "\\text{H–Cl}", "\\text{16~–~2P}": "\\text{16~−~2P}", "\\underset{\\text{–}}{x}": "\\underset{\\text{–}}{x}", "\\text{1–2 and {–3}}": "\\text{1–2 and {−3}}", "\\overset{¯}{x}·ŷ": "\\bar{x}\\cdot \\hat{y}", "H_{Ø}": "H_{0}", "\\text{µ–––}": "\\text{μ–––}", "\\text{open –": "\\text{open -"}
+    assert {k: repairs.repair_tex(k) for k in cases} == cases
+    text = {"It fell to –5 °C.": "It fell to −5 °C.", "pages 5–9 and A–Z": "pages 5–9 and A–Z", "so x – 3 = –2": "so x − 3 = −2", "a word – and another": "a word – and another", "(–3, –2)": "(−3, −2)", "5–3 = 2": "5−3 = 2"}
+    assert {k: repairs.minus_in_text(k) for k in text} == text
+
+
+MODULE = b"""<document xmlns="http://cnx.rice.edu/cnxml" xmlns:m="http://www.w3.org/1998/Math/MathML" id="m1"><title>A  module</title><content>
+<para id="p1">Text <emphasis effect="italics">it</emphasis> &lt; <term>term</term><footnote>note</footnote> <link document="m2" target-id="x">there</link><link url="u"/></para>
+<section id="s"><title>One</title><list list-type="enumerated" number-style="lower-alpha"><item>a</item><item>b<list><item>c</item></list></item></list>
+<note><title>N</title><para id="p2">in</para></note></section>
+<figure id="f"><media alt="A &quot;cat&quot;"><image src="c.png"/></media><caption>Cap</caption></figure>
+<equation id="e"><m:math display="block"><m:mi> x </m:mi></m:math></equation>
+<table><tgroup cols="2"><colspec colname="a" colnum="1"/><colspec colname="b" colnum="2"/><thead><row><entry namest="a" nameend="b">H</entry></row></thead><tbody><row><entry morerows="1">1</entry><entry>2</entry></row></tbody></tgroup></table>
+</content><glossary><definition id="d"><term>t</term><meaning>m</meaning></definition></glossary></document>"""
+
+
+def test_modules(spark):
+    from folioquarry.sources import cnxml
+
+    rows = spark.createDataFrame([("a", bytearray(MODULE)), ("b", bytearray(b"<document><content><odd>x</odd></content></document>")), ("c", bytearray(b"<broken"))], "path string, content binary")
+    got = {r.path: r for r in cnxml.read_modules(rows).collect()}
+    page = got["a"].html
+    assert (got["a"].module, got["a"].title, got["a"].problem) == ("m1", "A module", None)
+    for part in (
+        '<p id="p1">Text <em>it</em> &lt; <dfn>term</dfn><sup id="fnref1"><a href="#fn1">1</a></sup> <a href="m2.html#x">there</a><a href="u">[link]</a></p>',
+        '<section id="s"><h2>One</h2><ol type="a"><li>a</li><li>b<ul><li>c</li></ul></li></ol>', '<aside class="note"><h3>N</h3><p id="p2">in</p></aside>',
+        '<figure id="f"><span class="media"><img src="c.png" alt="A &quot;cat&quot;"></span><figcaption>Cap</figcaption></figure>', '<div id="e" class="equation"><math display="block"><mi>x</mi></math></div>',
+        '<table><thead><tr><th colspan="2">H</th></tr></thead><tbody><tr><td rowspan="2">1</td><td>2</td></tr></tbody></table>', '<section class="glossary"><div id="d" class="definition"><dfn>t</dfn><div class="meaning">m</div></div></section>', '<ol class="footnotes"><li id="fn1">note</li></ol>',
+    ):
+        assert part in page
+    assert "odd" in got["b"].problem and got["c"].problem and cnxml.convert(b"<document><content><odd>x</odd></content></document>", lenient=True)["html"] == "x"
