@@ -58,6 +58,7 @@ def follow(redirects: DataFrame) -> DataFrame:
         moved = moved.checkpoint() if moved.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else moved.persist()
         if moved.filter("go").isEmpty():
             return moved.select("url", "end")
+        now.unpersist()
         now = moved.select("url", "end", "seen")
 
 

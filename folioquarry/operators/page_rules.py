@@ -44,12 +44,10 @@ def document_rules() -> list[Column]:
 
 
 def id_rules() -> list[Column]:
-    """Each further occurrence of an id, and ids with white space."""
-    ids = F.col("ids")
-    return [
-        _each("ids", lambda x, i: F.array_position(ids, x) <= i, "duplicate-id", lambda x, i: x),
-        _each("ids", lambda x, i: x.rlike(r"(?U)[\s\x1c-\x1f]"), "invalid-id", lambda x, i: x),
-    ]
+    """Each further occurrence of an id, which stand together once sorted, and ids with white space."""
+    ordered = F.array_sort(F.transform("ids", lambda x, i: F.struct(x.alias("id"), i.alias("i"))))
+    again = let(ordered, lambda s: F.array_compact(F.transform(s, lambda e, k: F.when((k > 0) & (F.get(s, k - 1)["id"] == e["id"]), _found("duplicate-id", e["id"])))))
+    return [again, _each("ids", lambda x, i: x.rlike(r"(?U)[\s\x1c-\x1f]"), "invalid-id", lambda x, i: x)]
 
 
 def image_rules() -> list[Column]:

@@ -161,3 +161,29 @@ def differing_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def copied_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = table(spark, sf_dir, "events").select(F.col("user_id").alias("page"), F.when(F.col("event_id") % 3 == 0, "https://a.org/x.png").otherwise(F.col("event_id").cast("string")).alias("path"))
     return lookups.copies(refs, table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("page")))
+
+
+@query("""SELECT p_partkey, 'x_' || CASE WHEN p_partkey < 10 THEN CAST(p_partkey AS VARCHAR) ELSE '{' || p_partkey || '}' END || '+\\frac{' || p_size || '}{\\mathrm{' || replace(p_name, ' ', '') || '}}' AS tex, '{' || p_size || '\\,\\mathrm{H}_{2}\\mathrm{O} \\rightarrow \\mathrm{Na}^{+}}' AS chemistry FROM part""")
+def formulas_as_tex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioquarry.functions import mathml
+
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    markup = F.concat(F.lit("<math><msub><mi>x</mi><mrow><mn>"), k, F.lit("</mn></mrow></msub><mo> + </mo><mfrac><mn>"), size, F.lit("</mn><mi>"), F.replace("p_name", F.lit(" "), F.lit("")), F.lit("</mi></mfrac></math>"))
+    ce = F.concat(F.lit("\\ce{"), size, F.lit("H2O -> Na+}"))
+    return table(spark, sf_dir, "part").select("p_partkey", mathml.mathml_as_tex(markup).alias("tex"), mathml.chemistry_as_tex(ce).alias("chemistry"))
+
+
+@query("""SELECT p_partkey, 'a − ' || p_size || ' = −' || p_partkey AS said, 'x-' || p_size || ' μ' AS tex FROM part""")
+def signs_and_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    said = F.concat(F.lit("a – "), size, F.lit(" = –"), k)
+    return table(spark, sf_dir, "part").select("p_partkey", repairs.minus_signs(said).alias("said"), repairs.equations_repaired(F.concat(F.lit("x–"), size, F.lit(" µ"))).alias("tex"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS module, p_name AS title, '<p id="p' || p_partkey || '">' || p_type || ' <em>' || p_brand || '</em></p>' AS html FROM part""")
+def converted_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioquarry.sources import cnxml
+
+    k = F.col("p_partkey").cast("string")
+    content = F.concat(F.lit('<document xmlns="http://cnx.rice.edu/cnxml" id="'), k, F.lit('"><title>'), "p_name", F.lit('</title><content><para id="p'), k, F.lit('">'), "p_type", F.lit(' <emphasis effect="italics">'), "p_brand", F.lit("</emphasis></para></content></document>"))
+    return cnxml.read_modules(table(spark, sf_dir, "part").select(k.alias("path"), content.cast("binary").alias("content"))).select("module", "title", "html")
