@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,15 +49,39 @@ def check_links(facts: DataFrame, files: DataFrame | None = None, strip_query: b
     return missing.unionByName(lost)
 
 
+def _held(rows: DataFrame) -> DataFrame:
+    """Rows of a round, computed once: checkpointed where there is a folder for it."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else rows.persist()
+
+
 def follow(redirects: DataFrame) -> DataFrame:
-    """url and the end of its redirects; in a cycle the walk stops when it comes to an address that it has left before."""
-    now = redirects.select("url", F.col("target").alias("end"), F.array("url").alias("seen"))
+    """url and the end of its redirects; in a cycle the walk stops when it comes to an address that it has left before.
+
+    Every address jumps to where its target has come, twice as far each round, so a chain of n ends after log2(n)
+    rounds; what is still on its way then is in a cycle or leads into one, and is walked step by step.
+    """
+    now = redirects.select("url", F.col("target").alias("end"))
+    for _ in range(max(1, math.ceil(math.log2(redirects.count() + 1)))):
+        ahead = now.select(F.col("url").alias("__from"), F.col("end").alias("__to"))
+        nxt = _held(now.join(ahead, now["end"] == ahead["__from"], "left").select("url", F.coalesce("__to", "end").alias("end"), F.col("__to").isNotNull().alias("go")))
+        if nxt.filter("go").isEmpty():
+            return nxt.select("url", "end")
+        now.unpersist()
+        now = nxt.select("url", "end")
+    cyclic = _held(now.join(redirects.select(F.col("url").alias("end")), "end", "left_semi").select("url"))
+    if cyclic.isEmpty():
+        return now
+    return now.join(cyclic, "url", "left_anti").unionByName(_walk(redirects, redirects.join(cyclic, "url", "left_semi")))
+
+
+def _walk(redirects: DataFrame, starts: DataFrame) -> DataFrame:
+    """url and end of the starting rows, one step a round."""
+    now = starts.select("url", F.col("target").alias("end"), F.array("url").alias("seen"))
     step = redirects.select(F.col("url").alias("from"), F.col("target").alias("to"))
     while True:  # ends, as no walk leaves an address twice
         nxt = now.join(step, now["end"] == step["from"], "left")
         go = F.col("to").isNotNull() & ~F.array_contains("seen", F.col("end"))
-        moved = nxt.select("url", F.when(go, F.col("to")).otherwise(F.col("end")).alias("end"), F.when(go, F.concat("seen", F.array("end"))).otherwise(F.col("seen")).alias("seen"), go.alias("go"))
-        moved = moved.checkpoint() if moved.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else moved.persist()
+        moved = _held(nxt.select("url", F.when(go, F.col("to")).otherwise(F.col("end")).alias("end"), F.when(go, F.concat("seen", F.array("end"))).otherwise(F.col("seen")).alias("seen"), go.alias("go")))
         if moved.filter("go").isEmpty():
             return moved.select("url", "end")
         now.unpersist()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioquarry.functions.text import after_first, is_amount, parse_number
+from folioquarry.functions.text import after_first, is_amount, let, parse_number
 
 GRID = "array<array<struct<cell_id:int,text:string,bold:boolean,shaded:boolean,image:boolean>>>"
 
@@ -143,21 +143,26 @@ def classify(df: DataFrame, grid: str = "grid", marked: str | None = None) -> Da
     return df.withColumn("kind", kind).withColumn("n_rows", F.greatest(F.size(g), F.lit(0))).withColumn("n_columns", F.coalesce(F.array_max(F.transform(g, F.size)), F.lit(0)))
 
 
-def explain(df: DataFrame, grid: str = "grid") -> DataFrame:
-    """guess of a classified table's headers: both, first-row, first-column, none, unknown, or null for no data table."""
-    bands = F.filter(F.col(grid), lambda r: ~is_full_width_band(r) & (F.size(filled(r)) > 0))
-    g = F.when(is_full_width_band(row(F.col(grid), 0)), bands).otherwise(F.col(grid))
-    kind = F.col("kind")
-    body = after_first(g)
-    has_head = kind.isin("both", "first-row", "title-row-then-headers") | text_over_numbers(g)
+def _guess(g: Column, kind: Column, has_head: Column, body: Column) -> Column:
     keyed = keys_rows(column(body, 0)) & holds_values(g)
     small = (F.size(row(g, 0)) < 2) | (F.size(body) < 2)
     fallback = F.when(plain_grid(g) | snaked_list(g), "none").otherwise("unknown")
-    guess = (
+    return (
         F.when(kind.startswith("layout") | (kind == "empty"), F.lit(None)).when(~has_head & (kind == "headers-not-in-row-1"), "unknown").when(kind == "both", "both").when(kind == "first-column", "first-column")
         .when(blank_corner_matrix(g), "both").when(~has_head & label_value(g), "first-column").when(small, F.when(has_head, "first-row").otherwise(fallback))
-        .when(keyed & has_head, "both").when(keyed & ~mostly_values(column(body, 0)), "first-column").when(has_head, "first-row").otherwise(fallback)
+        .when(~keyed, F.when(has_head, "first-row").otherwise(fallback)).when(has_head, "both").when(~mostly_values(column(body, 0)), "first-column").otherwise(fallback)
     )
+
+
+def explain(df: DataFrame, grid: str = "grid") -> DataFrame:
+    """guess of a classified table's headers: both, first-row, first-column, none, unknown, or null for no data table.
+
+    The grid without a title's bands, its body and whether it has a head are each computed once.
+    """
+    bands = F.filter(F.col(grid), lambda r: ~is_full_width_band(r) & (F.size(filled(r)) > 0))
+    g = F.when(is_full_width_band(row(F.col(grid), 0)), bands).otherwise(F.col(grid))
+    headed = lambda x: F.struct(x.alias("g"), after_first(x).alias("body"), (F.col("kind").isin("both", "first-row", "title-row-then-headers") | text_over_numbers(x)).alias("head"))
+    guess = let(let(g, headed), lambda s: _guess(s["g"], F.col("kind"), s["head"], s["body"]))
     return df.withColumn("guess", guess)
 
 

@@ -190,3 +190,18 @@ def test_signatures():
     <table role=grid><caption>Cap tion</caption><thead><tr><th scope=col>h<th scope=col colspan=2>i</tr></thead><tr><td id=q rowspan=2>1<td headers=q>2<td>3</tr></table></body></html>""")
     want = {"title": "A t", "lang": "en", "h1_text": "One", "list_outline": "ul1:2,ol2:1", "img_stems": "A b", "img_extensions": ".png .svg", "img_alt_missing": "1", "img_alt_empty": "1", "link_fragment_count": "1", "link_page_count": "1", "link_asset_count": "1", "link_external_count": "1", "table[1].cols": "3", "table[1].rows": "2", "table[1].thead_rows": "1", "table[1].scope": "col=2", "table[1].colspan": "1", "table[1].rowspan": "1", "table[1].cell_ids": "1", "table[1].headers_attr": "1", "table[1].caption": "Cap tion", "table[1].role": "grid", "word_count": "14"}
     assert {k: got[k] for k in want} == want
+
+
+def test_redirects_in_chains_and_cycles(spark):
+    from folioquarry.operators import links
+
+    rows = [(f"a{i}", f"a{i + 1}") for i in range(150)] + [("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("x", "c2"), ("self", "self"), ("b", "a100")]
+    got = {r.url: r.end for r in links.follow(spark.createDataFrame(rows, "url string, target string")).collect()}
+    assert all(got[f"a{i}"] == "a150" for i in range(150)) and got["b"] == "a150"
+    step = dict(rows)
+    for url in ("c1", "c2", "c3", "x", "self"):
+        end, seen = step[url], {url}
+        while end in step and end not in seen:
+            seen.add(end)
+            end = step[end]
+        assert got[url] == end
