@@ -134,3 +134,21 @@ def chapter_numbers(pages: DataFrame, book: list[str]) -> DataFrame:
     counted = F.sum((~F.col("is_intro")).cast("int")).over(Window.partitionBy(*book, "chapter_pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     return pages.withColumn("chapter_number", number).withColumn("page_number", F.when(~F.col("is_intro"), counted))
 
+
+
+def course_pages(links: DataFrame, chapters: DataFrame, book: list[str], deepest: int = 12) -> DataFrame:
+    """pos, parent, title, address, body and note of a course's entries: links(pos, id, short_name, title, depth, root), chapters(id, title, text).
+
+    An entry whose chapter was not captured, or that has neither text nor entries under it, has a note and no body;
+    one without text of its own lists what stands under it.
+    """
+    at = parents(links.join(chapters.select(*book, "id", F.col("title").alias("__title"), "text", F.lit(True).alias("__there")), [*book, "id"], "left"), book, deepest)
+    title = F.trim(F.regexp_replace(F.coalesce(F.nullif("title", F.lit("")), "__title", F.lit("")), r"\s+", " "))
+    at = at.withColumn("title", title).withColumn("address", F.concat("root", F.lit("/"), F.coalesce(F.nullif("short_name", F.lit("")), F.col("id").cast("string"))))
+    item = F.concat(F.lit('<li><a href="'), "address", F.lit('">'), "title", F.lit("</a></li>"))
+    below = at.filter("parent is not null").groupBy(*book, F.col("parent").alias("pos")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("x")))), lambda e: e["x"]), "").alias("__list"))
+    at = at.join(below, [*book, "pos"], "left")
+    own = F.regexp_replace(F.coalesce("text", F.lit("")), r"<[^>]+>|\s|&nbsp;", "") != ""
+    note = F.when(F.col("__there").isNull(), "chapter-not-captured").when(~own & F.col("__list").isNull(), "chapter-empty")
+    body = F.when(note.isNull(), F.when(own, F.col("text")).otherwise(F.concat(F.lit("<ul>"), "__list", F.lit("</ul>"))))
+    return at.select(*book, "pos", "parent", "title", "address", body.alias("body"), note.alias("note"))

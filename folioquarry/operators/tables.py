@@ -236,3 +236,36 @@ def without_header_column(guess: Column, kind: Column, grid: Column, marked: Col
     inner = F.size(F.filter(notes, lambda i: i < F.size(note_body(grid)))) > 0
     down = F.when((guess == "both") | ((guess == "first-column") & marked), "first-row").when(~marked & ((guess == "first-column") | ((guess == "unknown") & ~kind.startswith("headers-not-in-row-1"))), "none").otherwise(guess)
     return F.when(guess.isNotNull() & inner, down).otherwise(guess)
+
+
+def one_cell(grid: Column) -> Column:
+    return (F.size(grid) == 1) & (F.size(row(grid, 0)) == 1)
+
+
+def lines_to_fill(grid: Column) -> Column:
+    """Every cell with text holds a line to write on, or a number or letter that leads one; one line at least."""
+    t = filled(F.flatten(grid))
+    return F.exists(t, lambda x: x.rlike(r"^_{3,}$")) & F.forall(t, lambda x: x.rlike(r"^(\(?[0-9A-Za-z]{1,2}[.)]?\s*)?_{3,}$|^\(?[0-9A-Za-z]{1,2}[.)]$"))
+
+
+def pictures_alone(grid: Column, longest: int = 40) -> Column:
+    """Rows of pictures, with rows of short labels or none between them."""
+    pictured = F.transform(grid, lambda r: F.exists(r, lambda c: F.coalesce(c["image"], F.lit(False))))
+    labels = F.forall(F.flatten(grid), lambda c: F.coalesce(c["image"], F.lit(False)) | (F.length(F.trim(F.coalesce(c["text"], F.lit("")))) <= longest))
+    gaps = F.forall(F.transform(pictured, lambda x, i: x | F.coalesce(F.get(pictured, i - 1), F.lit(False)) | F.coalesce(F.get(pictured, i + 1), F.lit(False))), lambda x: x)
+    return F.exists(pictured, lambda x: x) & labels & gaps
+
+
+def matching_exercise(grid: Column) -> Column:
+    """Two lists side by side to be matched: numbers lead the first column, letters the second."""
+    lead = lambda j, form: F.forall(filled(column(grid, j)), lambda x: x.rlike(form)) & (F.size(filled(column(grid, j))) > 1)
+    return F.forall(grid, lambda r: F.size(r) == 2) & lead(0, r"^\(?[0-9]{1,2}[.)]\s") & lead(1, r"^\(?[A-Za-z][.)]\s")
+
+
+def layout_reason(grid: Column, headed: Column, organizer: Column, captioned: Column, placed: Column) -> Column:
+    """Why a table is layout only: shape, page (an organizer's) or place (where it stands); null for a data table.
+
+    headed: whether it declares headers; placed: whether its place or class says layout.
+    """
+    shape = one_cell(grid) | lines_to_fill(grid) | pictures_alone(grid) | matching_exercise(grid)
+    return F.when(headed, F.lit(None)).when(F.coalesce(shape, F.lit(False)), "shape").when(organizer, "page").when(~captioned & placed, "place")

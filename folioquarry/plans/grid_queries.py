@@ -48,3 +48,10 @@ def grid_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = F.col("grid")
     found = {"words_over_numbers": tables.text_over_numbers(g), "corner": tables.blank_corner_matrix(g), "labels": tables.label_value(g), "plain": tables.plain_grid(g), "snaked": tables.snaked_list(g), "title": tables.is_full_width_band(tables.row(g, 0)), "header": tables.looks_like_header_band(tables.row(g, 0))}
     return shaped_grids(spark, sf_dir).select("k", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in found.items()])
+
+
+@query("""SELECT DISTINCT l_orderkey AS k, CASE WHEN l_orderkey % 11 IN (0, 1) THEN NULL WHEN l_orderkey % 11 IN (8, 9) THEN 'shape' WHEN l_orderkey % 5 = 0 THEN 'page' WHEN l_orderkey % 3 = 0 AND l_orderkey % 2 = 1 THEN 'place' END AS reason FROM lineitem""")
+def layout_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    reason = tables.layout_reason(F.col("grid"), (k % 11).isin(0, 1), k % 5 == 0, k % 2 == 0, k % 3 == 0)
+    return shaped_grids(spark, sf_dir).select("k", reason.alias("reason"))

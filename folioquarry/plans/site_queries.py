@@ -187,3 +187,16 @@ def converted_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey").cast("string")
     content = F.concat(F.lit('<document xmlns="http://cnx.rice.edu/cnxml" id="'), k, F.lit('"><title>'), "p_name", F.lit('</title><content><para id="p'), k, F.lit('">'), "p_type", F.lit(' <emphasis effect="italics">'), "p_brand", F.lit("</emphasis></para></content></document>"))
     return cnxml.read_modules(table(spark, sf_dir, "part").select(k.alias("path"), content.cast("binary").alias("content"))).select("module", "title", "html")
+
+
+@query("""WITH e AS (SELECT user_id AS book, event_id AS pos, CASE WHEN event_id % 7 = 0 THEN 0 ELSE CAST(event_id % 4 AS INT) END AS depth, event_type FROM events),
+w AS (SELECT *, max(CASE WHEN depth = 0 THEN pos END) OVER w AS p0, max(CASE WHEN depth = 1 THEN pos END) OVER w AS p1, max(CASE WHEN depth = 2 THEN pos END) OVER w AS p2 FROM e WINDOW w AS (PARTITION BY book ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+q AS (SELECT *, CASE depth WHEN 1 THEN p0 WHEN 2 THEN greatest(p0, p1) WHEN 3 THEN greatest(p0, p1, p2) END AS parent, 'http://a.org/' || book || '/' || CASE WHEN pos % 2 = 0 THEN 's' || pos ELSE CAST(pos AS VARCHAR) END AS address FROM w),
+c AS (SELECT book, parent AS pos, string_agg('<li><a href="' || address || '">' || event_type || '</a></li>', '' ORDER BY pos) AS items FROM q WHERE parent IS NOT NULL GROUP BY 1, 2)
+SELECT q.book, q.pos, q.parent, q.event_type AS title, address, CASE WHEN q.pos % 5 = 0 THEN NULL WHEN q.pos % 3 = 0 THEN '<p>' || q.event_type || '</p>' WHEN items IS NOT NULL THEN '<ul>' || items || '</ul>' END AS body,
+CASE WHEN q.pos % 5 = 0 THEN 'chapter-not-captured' WHEN q.pos % 3 <> 0 AND items IS NULL THEN 'chapter-empty' END AS note FROM q LEFT JOIN c USING (book, pos)""")
+def course_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _outline(spark, sf_dir)
+    entries = rows.select("book", "pos", F.col("pos").alias("id"), F.when(F.col("pos") % 2 == 0, F.concat(F.lit("s"), "pos")).otherwise("").alias("short_name"), F.concat(F.lit(" "), "title").alias("title"), "depth", F.concat(F.lit("http://a.org/"), "book").alias("root"))
+    text = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("<p>"), "title", F.lit("</p>"))).otherwise("<p>&nbsp;</p>")
+    return books.course_pages(entries, rows.filter("pos % 5 <> 0").select("book", F.col("pos").alias("id"), "title", text.alias("text")), ["book"])
