@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from folioquarry.llm.common import char_starts, over_texts
+from folioquarry.llm.common import char_starts, over_texts, small_batches
 
 #: Encoded matches that a process remembers before it starts anew.
 CACHE_ENTRIES = 250_000
@@ -111,6 +111,7 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids_col: str = "token_i
     """All columns and decoded (binary): the bytes of the ids; null ids give empty bytes, unknown ids an error."""
     import pyarrow as pa
 
+    small_batches(df.sparkSession)
     at = df.columns.index(ids_col)
     schema = T.StructType([f for f in df.schema if f.name != "decoded"] + [T.StructField("decoded", T.BinaryType())])
 

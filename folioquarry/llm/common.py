@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one kernel call handles; a single longer text is handled alone.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
+#: Bytes of rows that go to a Python worker at once; a single longer row goes alone.
+ARROW_BYTES = 4 << 20
 
 
 #: Rows of a few numbers that a side may have to be broadcast; as a hashed relation some 30 MB.
@@ -97,12 +99,20 @@ def slices(batch: pa.RecordBatch, text: pa.Array, limit: int = BATCH_BYTES) -> I
         start = stop
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on what crosses to Python at once, so that neither side of a worker holds long batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def over_texts(df: DataFrame, text_col: str, kernel: Callable, fields: T.StructType, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of each row beside what ``kernel(list of texts)`` returns for its text.
 
     kernel() gets whole texts (None for null), BATCH_BYTES of them at a time, and returns a list of
     column lists.  Kept columns that a result column's name clashes with (in any case) are left out.
     """
+    small_batches(df.sparkSession)
     names = {f.name.lower() for f in fields}
     keep = [c for c in keep if c.lower() not in names]
     schema = T.StructType([df.schema[c] for c in keep] + list(fields))

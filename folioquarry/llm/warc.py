@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquarry.llm.common import BATCH_BYTES, bounded, new_folder
+from folioquarry.llm.common import BATCH_BYTES, bounded, new_folder, small_batches
 
 #: Records in one archive file at most.
 RECORDS_PER_FILE = 2_000
@@ -112,6 +112,7 @@ def write(records: DataFrame, folder: str, date: str | None = None, records_per_
 
     Rows are compressed one by one and written by Spark's own writer, so that any store that Spark reaches will do.
     """
+    small_batches(records.sparkSession)
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
