@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioquarry.llm.common import Scratch, Words, bounded, mixed, over_texts, word_hashes
+from folioquarry.llm.common import Scratch, Words, bounded, mixed, over_texts, unused, word_hashes
 
 SHINGLE, BANDS, ROWS = 5, 42, 6
 COORDINATES = BANDS * ROWS
@@ -257,9 +257,8 @@ def residue(prefix: DataFrame, threshold: float) -> DataFrame:
     return met.select(F.col("vid_a").alias("a"), F.col("vid_b").alias("b")).distinct()
 
 
-def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, weighted: bool) -> DataFrame:
-    """id, raw and key (one number for each class; null for null texts) of every row."""
-    scratch = Scratch(docs.sparkSession)
+def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, weighted: bool, scratch: Scratch) -> DataFrame:
+    """id, raw and key (one number for each class; null for null texts) of every row, as a table; all that led to it is deleted."""
     rows = scratch.put(sketch(docs, id_col, text_col, weighted))
     texts = rows.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "raw")).alias("row"), F.first("bands").alias("bands"))
     texts = scratch.put(texts.withColumn("vid", F.monotonically_increasing_id()))  # fixed by the table that is written
@@ -267,6 +266,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, weig
     # counts by band are written before they are joined, as Spark splits a hot key only where both sides come from a shuffle or a table
     shared = scratch.put(members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
     members = scratch.put(members.join(shared, "band"))
+    scratch.drop(shared)
     needed = scratch.put(texts.join(members.select("vid").distinct(), "vid", "left_semi").select("vid", "digest", "row"))
     sets = scratch.put(_sets(docs, id_col, text_col, needed))
     links = scratch.put(similar(stars(members, scratch), sets, threshold))
@@ -281,13 +281,15 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, weig
         scratch.drop(old)
     scratch.drop(members, needed, sets, links, left, prefix, more)
     keys = texts.select("digest", "vid").join(roots, "vid", "left").select("digest", F.coalesce("root", "vid").alias("key"))
-    return rows.select("id", "raw", "digest").join(keys, "digest", "left").select("id", "raw", "key")
+    out = scratch.put(rows.select("id", "raw", "digest").join(keys, "digest", "left").select("id", "raw", "key"))
+    scratch.drop(rows, texts, roots)
+    return out
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, weighted: bool = False) -> DataFrame:
     """id_col, class_id (the smallest id of the class) and is_first for every row."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.put(_classed(docs, id_col, text_col, threshold, weighted))
+    rows = _classed(docs, id_col, text_col, threshold, weighted, scratch)
     first = scratch.put(_firsts(rows)).select("key", F.col("first.id").alias("first_id"), F.col("first.raw").alias("first_raw"))
     out = rows.join(first, "key", "left")
     own = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("first_id"))
@@ -307,19 +309,20 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The rows that go are broadcast while they are few; beyond ``BROADCAST_ROWS`` both sides are shuffled.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.put(_classed(docs, id_col, text_col, threshold, False))
+    rows = _classed(docs, id_col, text_col, threshold, False, scratch)
     firsts = scratch.put(_firsts(rows))
     stay = firsts.select("key", F.col("first.id").alias("first_id"), F.col("first.raw").alias("first_raw"))
     gone = rows.join(stay, "key").filter(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("raw") == F.col("first_raw"))))
-    gone = scratch.put(gone.select(F.col("id").alias("__gone_id"), F.col("raw").alias("__gone_raw")).distinct())
+    gone_id, gone_raw, own_raw = (unused(docs, n) for n in ("gone_id", "gone_raw", "own_raw"))
+    gone = scratch.put(gone.select(F.col("id").alias(gone_id), F.col("raw").alias(gone_raw)).distinct())
     raw = F.xxhash64(F.col(f"`{text_col}`").cast("string"))
     its = [F.col(f"`{c}`") for c in docs.columns]
-    same_id = lambda x: F.col(f"`{id_col}`").eqNullSafe(F.col(x))
-    out = docs.join(bounded(gone), (raw == F.col("__gone_raw")) & same_id("__gone_id"), "left_anti")
-    again = firsts.filter("first.copies > 1").select(F.col("first.id").alias("__again_id"), F.col("first.raw").alias("__again_raw"))
+    is_row = (raw == F.col(gone_raw)) & F.col(f"`{id_col}`").eqNullSafe(F.col(gone_id))
+    out = docs.join(bounded(gone), is_row, "left_anti")
+    again = firsts.filter("first.copies > 1").select(F.col("first.id").alias(gone_id), F.col("first.raw").alias(gone_raw))
     if again.isEmpty():
         return out.select(*its)
     # rows that repeat in full key, of which one stays; null texts are nobody's copies
-    is_again = (raw == F.col("__again_raw")) & same_id("__again_id") & F.col(f"`{text_col}`").isNotNull()
-    repeated = out.join(bounded(again), is_again, "left_semi").withColumn("__raw", raw).dropDuplicates([id_col, "__raw"])
+    is_again = is_row & F.col(f"`{text_col}`").isNotNull()
+    repeated = out.join(bounded(again), is_again, "left_semi").withColumn(own_raw, raw).dropDuplicates([id_col, own_raw])
     return out.join(bounded(again), is_again, "left_anti").select(*its).unionByName(repeated.select(*its))

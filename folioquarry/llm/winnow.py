@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioquarry.llm.common import Scratch, bounded
+from folioquarry.llm.common import Scratch, bounded, unused
 from folioquarry.llm.textsql import starts, words_of
 
 WINDOW, GRAM = 10, 5
@@ -134,8 +134,9 @@ def retain(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     The texts that go are broadcast while they are few; beyond ``BROADCAST_ROWS`` of common.py both sides are shuffled.
     """
     hit = _judged(docs, items, id_col, text_col, item_id, item_text, broadcast_rows).filter("n_hit > 0")
-    gone = Scratch(docs.sparkSession).put(hit.select(F.col("id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash")))
-    same = (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__gone_hash")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__gone_id"))
+    gone_id, gone_hash = unused(docs, "gone_id"), unused(docs, "gone_hash")
+    gone = Scratch(docs.sparkSession).put(hit.select(F.col("id").alias(gone_id), F.col("text_hash").alias(gone_hash)))
+    same = (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(gone_hash)) & F.col(f"`{id_col}`").eqNullSafe(F.col(gone_id))
     return docs.join(bounded(gone), same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -71,8 +71,8 @@ def test_stages_on_nulls_repeats_and_clashing_columns(spark):
     prose = " ".join(f"Word{i % 37} and then more of it." for i in range(30))
     other = prose.replace("Word", "Term") * 3
     rows = [(1, prose + " one two three four five six", None), (1, prose + " " + bench, "s"), (2, None, "s"), (None, prose.upper(), "s"), (None, None, None), (3, "", "s"), (4, other + " token = \"c1e4c9030b2fad02edf9e9b50afc6bbc838394ff\" end", "s"), (4, other + " token = \"c1e4c9030b2fad02edf9e9b50afc6bbc838394ff\" end", "s"), (5, "x " * 90_000, "s")]
-    schema = "doc_id long, text string, source string, __clean string, clean int, kept int, KEPT2 int, id string, w int, fp long, n_hit int"
-    docs = spark.createDataFrame([(*r, "c", 1, 2, 3, "i", 4, 5, 6) for r in rows], schema)
+    schema = "doc_id long, text string, source string, __clean string, clean int, kept int, KEPT2 int, id string, w int, fp long, n_hit int, gone_id string, gone_raw long, gone_hash int, own_raw int"
+    docs = spark.createDataFrame([(*r, "c", 1, 2, 3, "i", 4, 5, 6, "g", 7, 8, 9) for r in rows], schema)
     left = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
