@@ -36,7 +36,7 @@ def test_cut_page_still_reads():
 
 
 def test_text_problems(spark):
-    cases = {"Photo by Ann Lee": "credit", "Source: NASA": "credit", "CC BY 4.0": None, "Painting by Claude Monet of water lilies": None, "j0309720": "placeholder", "...": "placeholder", "Untitled.": "placeholder", "fox.png": "is-file-name", "www.jpeg.org": "credit", "Woman | Premium Vector": "page-title", "a fox": None, "": None, "y" * 121: "too-long", "y" * 120: None, "Description automatically generated": "auto-generated"}
+    cases = {"Photo by Ann Lee": "credit", "Source: NASA": "credit", "CC BY 4.0": None, "Drawing by Otto Keller of two barges": None, "j0309720": "placeholder", "...": "placeholder", "Untitled.": "placeholder", "fox.png": "is-file-name", "www.jpeg.org": "credit", "Woman | Premium Vector": "page-title", "a fox": None, "": None, "y" * 121: "too-long", "y" * 120: None, "Description automatically generated": "auto-generated"}
     rows = spark.createDataFrame([(a,) for a in cases], "a string")
     got = {r.a: r.p and r.p.kind for r in rows.select("a", alttext.problem(F.col("a")).alias("p")).collect()}
     assert got == cases
