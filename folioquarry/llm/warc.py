@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquarry.llm.common import BATCH_BYTES, bounded, new_folder, small_batches
+from folioquarry.llm.common import BATCH_BYTES, Scratch, bounded, new_folder, small_batches
 
 #: Records in one archive file at most.
 RECORDS_PER_FILE = 2_000
@@ -55,11 +55,15 @@ def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("target_uri"), payload.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("payload_digest", sha1_base32(F.col("payload")))
     heads = rows.select("page_id", "payload_bytes", "payload_digest", "target_uri").filter(F.col("payload_bytes") >= least_bytes)
-    heads = heads.groupBy("payload_digest", "page_id").agg(F.count("*").alias("copies"), F.min("target_uri").alias("uri"))
+    # both are written, so payloads are digested once here, and a digest that many pages have can be split in the join
+    scratch = Scratch(pages.sparkSession)
+    heads = scratch.put(heads.groupBy("payload_digest", "page_id").agg(F.count("*").alias("copies"), F.min("target_uri").alias("uri")))
     first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "uri", "copies")))
     groups = heads.groupBy("payload_digest").agg(F.sum("copies").alias("n"), first.alias("original")).filter("n > 1").drop("n")
+    groups = scratch.put(groups)
     marks = heads.select(F.col("payload_digest").alias("mark_digest"), F.col("page_id").alias("mark_id"), "copies").join(groups, F.col("mark_digest") == F.col("payload_digest"))
-    marks = marks.select("mark_digest", "mark_id", "copies", "original")
+    marks = scratch.put(marks.select("mark_digest", "mark_id", "copies", "original"))
+    scratch.drop(heads, groups)
     out = rows.join(bounded(marks), (rows["payload_digest"] == F.col("mark_digest")) & rows["page_id"].eqNullSafe(F.col("mark_id")), "left")
     again = F.coalesce(F.col("page_id") != F.col("original.page_id"), F.lit(False))
     return out.select(
