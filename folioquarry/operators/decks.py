@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +31,22 @@ def _pairs(shapes: DataFrame) -> DataFrame:
 
 
 def overlapping(shapes: DataFrame, margin: int = 0) -> DataFrame:
-    return _pairs(shapes).filter(overlap("a", "b", margin)).select(F.col("a.deck").alias("deck"), F.col("a.slide").alias("slide"), F.col("a.shape_id").alias("first"), F.col("b.shape_id").alias("second"))
+    """Pairs of one slide whose boxes overlap by more than a margin, the first earlier in the tree.
+
+    A slide is cut into cells as large as its largest box, so a box touches four at most, and only boxes of one cell
+    are compared; a pair counts in the cell that holds the corner where its overlap begins.
+    """
+    place = ["deck", "slide"]
+    largest = shapes.groupBy(*place).agg(F.max(F.greatest("w", F.lit(1))).alias("cw"), F.max(F.greatest("h", F.lit(1))).alias("ch"))
+    at = shapes.select(*place, "seq", "shape_id", "x", "y", "w", "h").join(largest, place)
+    cell = lambda at, size: F.floor(F.col(at) / F.col(size))
+    span = lambda p, d, size: F.sequence(cell(p, size), F.floor((F.col(p) + F.greatest(F.col(d), F.lit(0))) / F.col(size)))
+    at = at.select("*", F.explode(span("x", "w", "cw")).alias("cx")).select("*", F.explode(span("y", "h", "ch")).alias("cy"))
+    a, b = at.alias("a"), at.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*place, "cx", "cy")]
+    begins = [F.col(f"a.{c}") == F.floor(F.greatest(f"a.{p}", f"b.{p}") / F.col(f"a.{size}")) for c, p, size in (("cx", "x", "cw"), ("cy", "y", "ch"))]
+    met = a.join(b, reduce(and_, [*same, F.col("a.seq") < F.col("b.seq"), *begins, overlap("a", "b", margin)]))
+    return met.select(F.col("a.deck").alias("deck"), F.col("a.slide").alias("slide"), F.col("a.shape_id").alias("first"), F.col("b.shape_id").alias("second"))
 
 
 def reading_order(shapes: DataFrame) -> DataFrame:
