@@ -200,3 +200,96 @@ def course_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = rows.select("book", "pos", F.col("pos").alias("id"), F.when(F.col("pos") % 2 == 0, F.concat(F.lit("s"), "pos")).otherwise("").alias("short_name"), F.concat(F.lit(" "), "title").alias("title"), "depth", F.concat(F.lit("http://a.org/"), "book").alias("root"))
     text = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("<p>"), "title", F.lit("</p>"))).otherwise("<p>&nbsp;</p>")
     return books.course_pages(entries, rows.filter("pos % 5 <> 0").select("book", F.col("pos").alias("id"), "title", text.alias("text")), ["book"])
+
+
+_VERSIONS = """a AS (SELECT conv_id, turn + 1 AS slide, 'T' || turn AS title, turn FROM conversations), p AS (SELECT conv_id, turn, unnest(CASE WHEN turn % 2 = 0 THEN [1, 2] ELSE [1] END) AS part FROM conversations WHERE turn % 5 <> 3 UNION ALL SELECT DISTINCT conv_id, -1, 1 FROM conversations),
+b AS (SELECT conv_id, turn, part, row_number() OVER (PARTITION BY conv_id ORDER BY turn, part) AS slide FROM p)"""
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Decks of a slide a turn, and their second versions: a slide before all, even turns cut in two, some turns left out.
+
+    A slide that is found further on takes one partner, so the second part of the first turn has none.
+    """
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("deck"), "turn")
+    items = lambda *x: F.array(*[F.concat(F.lit(c), F.col("turn").cast("string")) for c in x])
+    none = F.expr("cast(array() as array<string>)")
+    first = rows.select("deck", (F.col("turn") + 1).alias("slide"), F.concat(F.lit("T"), "turn").alias("title"), items("x", "y").alias("items"), none.alias("notes"))
+    parts = rows.filter("turn % 5 <> 3").select("deck", "turn", F.explode(F.when(F.col("turn") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("part"))
+    parts = parts.unionByName(rows.select("deck").distinct().select("deck", F.lit(-1).cast("long").alias("turn"), F.lit(1).alias("part")))
+    title = F.when(F.col("turn") < 0, "New").when(F.col("part") == 2, F.concat(F.lit("T"), "turn", F.lit(" (2)"))).otherwise(F.concat(F.lit("T"), "turn"))
+    own = F.when(F.col("turn") % 2 == 1, items("x", "z")).when(F.col("part") == 1, items("x")).otherwise(items("y"))
+    slide = F.row_number().over(Window.partitionBy("deck").orderBy("turn", "part")).cast("long")
+    return first, parts.select("deck", slide.alias("slide"), title.alias("title"), own.alias("items"), none.alias("notes"))
+
+
+@query(f"""WITH {_VERSIONS} SELECT CAST(a.conv_id AS VARCHAR) AS deck, a.slide AS first, b.slide AS second FROM a LEFT JOIN b ON b.conv_id = a.conv_id AND b.turn = a.turn AND (b.turn > 0 OR b.part = 1) UNION ALL SELECT CAST(conv_id AS VARCHAR), NULL, slide FROM b WHERE turn = -1 OR turn = 0 AND part = 2""")
+def aligned_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.align_decks(*_versions(spark, sf_dir))
+
+
+@query(f"""WITH {_VERSIONS} SELECT CAST(conv_id AS VARCHAR) AS deck, slide, CASE WHEN turn % 5 = 3 THEN 'only in the first' ELSE 'content' END AS what FROM a WHERE turn % 5 = 3 OR turn % 2 = 1 OR turn = 0 UNION ALL SELECT CAST(conv_id AS VARCHAR), slide, 'only in the second' FROM b WHERE turn = -1 OR turn = 0 AND part = 2""")
+def compared_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.compare_decks(*_versions(spark, sf_dir))
+
+
+@query("""SELECT l_orderkey AS slide, CAST(count(*) AS INT) AS n, true AS whole FROM lineitem GROUP BY 1""")
+def drafted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioquarry.operators import decks
+    from folioquarry.plans.operator_queries import _boxes
+
+    order = decks.drafted_order(_boxes(spark, sf_dir))
+    return order.groupBy("slide").agg(F.count("*").cast("int").alias("n"), (F.count_distinct("rank") == F.count("*")).alias("whole"))
+
+
+@query("""SELECT 'http://a.org/' || page_id AS url, md5(CASE WHEN page_id % 3 = 2 THEN '<!-- saved from url=(0020)http://a.org/' || page_id || ' -->' ELSE '' END || coalesce(html, '')) AS digest, CAST(0 AS BIGINT) AS n_more FROM pages""")
+def loaded_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page as a file of its own: a crawl archive, a MIME page, or one that a browser saved."""
+    from folioquarry.sources import archives
+
+    k, body = F.col("page_id"), F.coalesce("html", F.lit(""))
+    url = F.concat(F.lit("http://a.org/"), k.cast("string"))
+    message = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"), body)
+    crawl = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), F.octet_length(message).cast("string"), F.lit("\r\n\r\n"), message, F.lit("\r\n\r\n"))
+    mime = F.concat(F.lit('MIME-Version: 1.0\r\nContent-Type: multipart/related; boundary="=B="\r\n\r\n--=B=\r\nContent-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\nContent-Location: '), url, F.lit("\r\n\r\n"), body, F.lit("\r\n--=B=--\r\n"))
+    saved = F.concat(F.lit("<!-- saved from url=(0020)"), url, F.lit(" -->"), body)
+    content = F.when(k % 3 == 0, crawl).when(k % 3 == 1, mime).otherwise(saved).cast("binary")
+    found = archives.load_site(table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), k.cast("string")).alias("path"), content.alias("content")))
+    return found.select("url", F.md5("html").alias("digest"), "n_more")
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS path, unnest([0, 1, 2]) AS pos, unnest([0, 0, 1]) AS depth, unnest(['Cover', p_type, p_name]) AS title, unnest([NULL, NULL, 'm' || p_partkey]) AS module FROM part""")
+def collection_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioquarry.sources import archives
+
+    k = F.col("p_partkey").cast("string")
+    book = F.concat(F.lit("<c:collection xmlns:c='u'><c:content><c:module><c:title>Cover</c:title></c:module><c:subcollection><c:title>"), "p_type", F.lit("</c:title><c:content><c:module document='m"), k, F.lit("'><c:title>"), "p_name", F.lit("</c:title></c:module></c:content></c:subcollection></c:content></c:collection>"))
+    return archives.read_collections(table(spark, sf_dir, "part").select(k.alias("path"), book.cast("binary").alias("content")))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Title ' || doc_id END AS title, CASE WHEN doc_id % 4 = 0 THEN lang END AS lang, md5(coalesce(text, '')) AS body FROM documents""")
+def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioquarry.sources import markup
+
+    text = F.coalesce("text", F.lit(""))
+    value = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit('---\ntitle: "Title '), F.col("doc_id").cast("string"), F.lit('"\nlang: '), "lang", F.lit("\n---\n"), text)).otherwise(text)
+    rows = markup.front_matter(table(spark, sf_dir, "documents").select("doc_id", value.alias("value")))
+    return rows.select("doc_id", F.try_element_at("meta", F.lit("title")).alias("title"), F.try_element_at("meta", F.lit("lang")).alias("lang"), F.md5("body").alias("body"))
+
+
+@query("""SELECT p_partkey AS file, unnest(['a' || p_size || '.tex', 'b/' || p_partkey || '.tikz']) AS includes, unnest([0, 1]) AS seq FROM part""")
+def latex_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioquarry.sources import markup
+
+    text = F.concat(F.lit("\\input{a"), "p_size", F.lit("} % \\input{no}\nx \\% \\include { b/"), "p_partkey", F.lit(".tikz }\n"))
+    return markup.includes(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"), text.alias("value")))
+
+
+@query("""SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents""")
+def repaired_code_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioquarry.sources import markup
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return markup.decoded(rows).select("doc_id", F.md5("text").alias("digest"))
