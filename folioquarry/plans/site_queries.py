@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -293,3 +297,75 @@ def repaired_code_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     return markup.decoded(rows).select("doc_id", F.md5("text").alias("digest"))
+
+
+def _zipped(*texts):
+    """A zip archive of the texts of some columns, their names being the first, third, ... of them."""
+    @F.pandas_udf("binary")
+    def pack(column: pd.Series) -> pd.Series:
+        def one(values) -> bytes:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                for name, text in zip(values[::2], values[1::2], strict=True):
+                    z.writestr(name, text)
+            return out.getvalue()
+
+        return column.map(one)
+
+    return pack(F.array(*[F.lit(t) if isinstance(t, str) else t for t in texts]))
+
+
+def _epubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey").cast("string")
+    package = F.concat(
+        F.lit("<package><metadata><title> "), "p_name", F.lit(" </title><language>en</language></metadata><manifest><item id='n' href='nav.xhtml' media-type='application/xhtml+xml' properties='nav'/><item id='a' href='t/a"), k,
+        F.lit(".xhtml' media-type='application/xhtml+xml'/><item id='i' href='lost.png' media-type='image/png'/></manifest><spine><itemref idref='a'/></spine></package>"),
+    )
+    nav = F.concat(F.lit("<html xmlns:e='u'><nav e:type='toc'><ol><li><a href='t/a"), k, F.lit(".xhtml#s'>"), "p_name", F.lit("</a><ol><li><span>"), "p_type", F.lit("</span></li></ol></li></ol></nav></html>"))
+    page = F.concat(F.lit("<html><p>"), "p_brand", F.lit("</p></html>"))
+    content = _zipped("META-INF/container.xml", "<c><rootfiles><rootfile full-path='O/p.opf'/></rootfiles></c>", "O/p.opf", package, "O/nav.xhtml", nav, F.concat(F.lit("O/t/a"), k, F.lit(".xhtml")), page)
+    return table(spark, sf_dir, "part").select(k.alias("path"), content.alias("content"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS path, unnest([0, 1]) AS pos, unnest([0, 1]) AS depth, unnest([p_name, p_type]) AS title, unnest(['O/t/a' || p_partkey || '.xhtml', NULL]) AS member, unnest(['s', NULL]) AS fragment FROM part""")
+def epub_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioquarry.sources import archives
+
+    return archives.read_epub_outline(_epubs(spark, sf_dir))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS path, unnest(['a', 'i', 'n']) AS id, unnest([0, NULL, NULL]) AS spine, unnest([true, false, true]) AS held, unnest(['<html><p>' || p_brand || '</p></html>', NULL, 'nav']) AS html FROM part""")
+def epub_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioquarry.sources import archives
+
+    rows = archives.read_epub(_epubs(spark, sf_dir))
+    return rows.select("path", "id", "spine", "held", F.when(F.col("id") == "n", "nav").otherwise(F.col("html")).alias("html"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS path, unnest([0, 1]) AS pos, unnest(['title', 'language']) AS name, unnest([p_name, 'en']) AS value FROM part""")
+def epub_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioquarry.sources import archives
+
+    return archives.read_epub_metadata(_epubs(spark, sf_dir))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS path, unnest([0, 1, 2]) AS pos, unnest([0, 1, 1]) AS depth, unnest([p_name, p_type, 'Quiz']) AS title, unnest(['heading', CASE WHEN p_partkey % 2 = 0 THEN 'page' ELSE 'file' END, 'activity']) AS kind FROM part""")
+def cartridge_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioquarry.sources import archives
+
+    k = F.col("p_partkey")
+    manifest = F.concat(
+        F.lit("<manifest><organizations><organization><item><item><title>"), "p_name", F.lit("</title><item identifierref='r'><title>"), "p_type", F.lit("</title></item><item identifierref='q'><title>Quiz</title></item></item></item></organization></organizations><resources><resource identifier='r' type='webcontent' href='a."),
+        F.when(k % 2 == 0, "html").otherwise("pdf"), F.lit("'/><resource identifier='q' type='imsqti_xmlv1p2/imscc_xmlv1p1/assessment'><file href='q.xml'/></resource></resources></manifest>"),
+    )
+    rows = table(spark, sf_dir, "part").select(k.cast("string").alias("path"), _zipped("imsmanifest.xml", manifest).alias("content"))
+    kept = archives.with_kind(rows).filter("kind = 'cartridge'")
+    return archives.read_cartridge(kept.select("path", "content")).select("path", "pos", (F.col("depth") - 1).alias("depth"), "title", "kind")
+
+
+@query("""SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL""")
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioquarry.operators import decisions
+
+    rows = table(spark, sf_dir, "documents")
+    return decisions.report(rows.groupBy("lang", "source").agg(F.count("*").alias("n")).join(rows.select("lang").distinct(), "lang"))
