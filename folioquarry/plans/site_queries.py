@@ -369,3 +369,33 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "documents")
     return decisions.report(rows.groupBy("lang", "source").agg(F.count("*").alias("n")).join(rows.select("lang").distinct(), "lang"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS path, unnest([1, 1, 2]) AS slide, unnest([2, 3, 9]) AS shape_id, unnest(['shape', 'picture', 'group']) AS kind, unnest([p_name, '', '']) AS text, unnest([NULL, p_type, NULL]) AS descr, unnest([true, false, false]) AS is_title, unnest([p_size, 7, 0]) AS x FROM part""")
+def deck_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioquarry.sources import archives
+
+    shape = lambda name, number, more: F.concat(F.lit(f"<{name}><nv><cNvPr id='{number}' "), *more, F.lit(f"</{name}>"))
+    title = shape("sp", 2, [F.lit("/><nvPr><ph type='title'/></nvPr></nv><off x='"), F.col("p_size").cast("string"), F.lit("' y='1'/><ext cx='3' cy='4'/><p><r><t>"), F.col("p_name"), F.lit("</t></r></p>")])
+    picture = shape("pic", 3, [F.lit("descr='"), F.col("p_type"), F.lit("'/></nv><off x='7' y='2'/><ext cx='1' cy='1'/>")])
+    first = F.concat(F.lit("<sld><spTree>"), title, picture, F.lit("</spTree></sld>"))
+    second = F.lit("<sld><spTree><grpSp><nv><cNvPr id='9'/></nv></grpSp></spTree></sld>")
+    content = _zipped("ppt/presentation.xml", "<p/>", "ppt/slides/slide1.xml", first, "ppt/slides/slide2.xml", second)
+    rows = archives.with_kind(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), content.alias("content"))).filter("kind = 'deck'")
+    return archives.read_decks(rows.select("path", "content")).select("path", "slide", "shape_id", "kind", "text", "descr", "is_title", F.col("x").cast("int").alias("x"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS path, unnest([1, 2]) AS tbl, unnest([CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END, 'below']) AS label, unnest([p_type || ',' || p_type || ',x,' || p_brand, 'only']) AS cells, unnest([p_partkey % 3 = 0, false]) AS marked FROM part""")
+def word_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioquarry.sources import archives, word
+
+    k = F.col("p_partkey")
+    para = lambda t: F.concat(F.lit("<w:p><w:r><w:t>"), t, F.lit("</w:t></w:r></w:p>"))
+    cell = lambda t, more="": F.concat(F.lit(f"<w:tc><w:tcPr>{more}</w:tcPr>"), para(t), F.lit("</w:tc>"))
+    head = F.when(k % 3 == 0, "<w:trPr><w:tblHeader/></w:trPr>").otherwise("")
+    first = F.concat(F.lit("<w:tbl><w:tr>"), head, cell(F.col("p_type"), '<w:gridSpan w:val="2"/>'), F.lit("</w:tr><w:tr>"), cell(F.lit("x")), cell(F.col("p_brand")), F.lit("</w:tr></w:tbl>"))
+    second = F.concat(F.lit("<w:tbl><w:tr>"), cell(F.lit("only")), F.lit("</w:tr></w:tbl>"))
+    body = F.concat(F.lit('<w:document xmlns:w="w"><w:body>'), F.when(k % 2 == 0, para(F.col("p_name"))).otherwise(""), first, second, F.lit("<w:p/>"), para(F.lit("below")), F.lit("</w:body></w:document>"))
+    rows = table(spark, sf_dir, "part").select(k.cast("string").alias("path"), _zipped("word/document.xml", body).alias("content"))
+    found = word.read_tables(archives.with_kind(rows).filter("kind = 'word'").select("path", "content"))
+    return found.select("path", "tbl", "label", F.array_join(F.transform(F.flatten("grid"), lambda c: c["text"]), ",").alias("cells"), "marked")

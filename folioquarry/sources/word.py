@@ -76,20 +76,30 @@ def _body(content: bytes) -> ET.Element:
         return _child(ET.fromstring(z.read("word/document.xml")), "body")
 
 
+def _below(after: list[ET.Element]) -> str:
+    """The first paragraph with text before any table, unless the next element is a table, whose label it then is."""
+    for k, e in enumerate(after):
+        if _name(e) == "tbl":
+            return ""
+        if _name(e) == "p" and (text := " ".join(_text(e).split())):
+            return "" if k + 1 < len(after) and _name(after[k + 1]) == "tbl" else text
+    return ""
+
+
 def tables_of(path: str, content: bytes, root: str = "") -> list[tuple]:
-    """Every table with its depth, outer first, and the paragraph just above as its label."""
+    """Every table with its depth, outer first, and its label: the paragraph above, else that below unless a table follows it."""
     out: list[tuple] = []
     book = path.removeprefix(root).lstrip("/").split("/")[0]
     todo = [(_body(content), 0)]
     while todo:
         parent, depth = todo.pop(0)
-        before, inner = "", []
-        for e in parent:
+        before, inner, elements = "", [], list(parent)
+        for at, e in enumerate(elements):
             if _name(e) == "p":
                 before = " ".join(_text(e).split()) or before
             elif _name(e) == "tbl":
                 grid, marked = grid_of(e)
-                out.append((path, book, len(out) + 1, depth, before, grid, marked, _value(_child(e, "tblPr", "tblStyle"))))
+                out.append((path, book, len(out) + 1, depth, before or _below(elements[at + 1 :]), grid, marked, _value(_child(e, "tblPr", "tblStyle"))))
                 inner += [(tc, depth + 1) for tc in e.iter() if _name(tc) == "tc" and any(_name(x) == "tbl" for x in tc)]
                 before = ""
         todo = inner + todo
