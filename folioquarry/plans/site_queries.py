@@ -264,6 +264,11 @@ def loaded_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("url", F.md5("html").alias("digest"), "n_more")
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts dealt out to all cores, as a small file of them makes many packages: Spark would read it in one task."""
+    return table(spark, sf_dir, "part").repartition(4 * spark.sparkContext.defaultParallelism)
+
+
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS path, unnest([0, 1, 2]) AS pos, unnest([0, 0, 1]) AS depth, unnest(['Cover', p_type, p_name]) AS title, unnest([NULL, NULL, 'm' || p_partkey]) AS module FROM part""")
 def collection_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioquarry.sources import archives
@@ -301,18 +306,24 @@ def repaired_code_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _zipped(*texts):
     """A zip archive of the texts of some columns, their names being the first, third, ... of them."""
+    given = [i for i, t in enumerate(texts) if not isinstance(t, str)]
+    fixed = [t if isinstance(t, str) else None for t in texts]
+
     @F.pandas_udf("binary")
-    def pack(column: pd.Series) -> pd.Series:
+    def pack(*columns: pd.Series) -> pd.Series:
         def one(values) -> bytes:
+            every = list(fixed)
+            for i, v in zip(given, values, strict=True):
+                every[i] = v
             out = io.BytesIO()
             with zipfile.ZipFile(out, "w") as z:
-                for name, text in zip(values[::2], values[1::2], strict=True):
+                for name, text in zip(every[::2], every[1::2], strict=True):
                     z.writestr(name, text)
             return out.getvalue()
 
-        return column.map(one)
+        return pd.Series([one(values) for values in zip(*columns, strict=True)])
 
-    return pack(F.array(*[F.lit(t) if isinstance(t, str) else t for t in texts]))
+    return pack.asNondeterministic()(*[texts[i] for i in given])  # made once: a filter by kind would make all archives again, before the parts are dealt out
 
 
 def _epubs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,7 +369,7 @@ def cartridge_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<manifest><organizations><organization><item><item><title>"), "p_name", F.lit("</title><item identifierref='r'><title>"), "p_type", F.lit("</title></item><item identifierref='q'><title>Quiz</title></item></item></item></organization></organizations><resources><resource identifier='r' type='webcontent' href='a."),
         F.when(k % 2 == 0, "html").otherwise("pdf"), F.lit("'/><resource identifier='q' type='imsqti_xmlv1p2/imscc_xmlv1p1/assessment'><file href='q.xml'/></resource></resources></manifest>"),
     )
-    rows = table(spark, sf_dir, "part").select(k.cast("string").alias("path"), _zipped("imsmanifest.xml", manifest).alias("content"))
+    rows = _parts(spark, sf_dir).select(k.cast("string").alias("path"), _zipped("imsmanifest.xml", manifest).alias("content"))
     kept = archives.with_kind(rows).filter("kind = 'cartridge'")
     return archives.read_cartridge(kept.select("path", "content")).select("path", "pos", (F.col("depth") - 1).alias("depth"), "title", "kind")
 
