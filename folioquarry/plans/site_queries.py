@@ -275,7 +275,7 @@ def collection_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     k = F.col("p_partkey").cast("string")
     book = F.concat(F.lit("<c:collection xmlns:c='u'><c:content><c:module><c:title>Cover</c:title></c:module><c:subcollection><c:title>"), "p_type", F.lit("</c:title><c:content><c:module document='m"), k, F.lit("'><c:title>"), "p_name", F.lit("</c:title></c:module></c:content></c:subcollection></c:content></c:collection>"))
-    return archives.read_collections(table(spark, sf_dir, "part").select(k.alias("path"), book.cast("binary").alias("content")))
+    return archives.read_collections(_parts(spark, sf_dir).select(k.alias("path"), book.cast("binary").alias("content")))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Title ' || doc_id END AS title, CASE WHEN doc_id % 4 = 0 THEN lang END AS lang, md5(coalesce(text, '')) AS body FROM documents""")
