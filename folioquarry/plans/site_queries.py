@@ -335,7 +335,7 @@ def _epubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     nav = F.concat(F.lit("<html xmlns:e='u'><nav e:type='toc'><ol><li><a href='t/a"), k, F.lit(".xhtml#s'>"), "p_name", F.lit("</a><ol><li><span>"), "p_type", F.lit("</span></li></ol></li></ol></nav></html>"))
     page = F.concat(F.lit("<html><p>"), "p_brand", F.lit("</p></html>"))
     content = _zipped("META-INF/container.xml", "<c><rootfiles><rootfile full-path='O/p.opf'/></rootfiles></c>", "O/p.opf", package, "O/nav.xhtml", nav, F.concat(F.lit("O/t/a"), k, F.lit(".xhtml")), page)
-    return table(spark, sf_dir, "part").select(k.alias("path"), content.alias("content"))
+    return _parts(spark, sf_dir).select(k.alias("path"), content.alias("content"))
 
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS path, unnest([0, 1]) AS pos, unnest([0, 1]) AS depth, unnest([p_name, p_type]) AS title, unnest(['O/t/a' || p_partkey || '.xhtml', NULL]) AS member, unnest(['s', NULL]) AS fragment FROM part""")

@@ -17,7 +17,7 @@ def mapped(spark, monkeypatch, name):
     return seen[-1]
 
 
-READERS = {"cartridge_outlines": 3, "collection_outlines": 3}
+READERS = {"cartridge_outlines": 3, "collection_outlines": 3, "epub_metadata": 2}
 
 
 @pytest.mark.parametrize("name", READERS)
