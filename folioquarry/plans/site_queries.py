@@ -407,6 +407,6 @@ def word_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.concat(F.lit("<w:tbl><w:tr>"), head, cell(F.col("p_type"), '<w:gridSpan w:val="2"/>'), F.lit("</w:tr><w:tr>"), cell(F.lit("x")), cell(F.col("p_brand")), F.lit("</w:tr></w:tbl>"))
     second = F.concat(F.lit("<w:tbl><w:tr>"), cell(F.lit("only")), F.lit("</w:tr></w:tbl>"))
     body = F.concat(F.lit('<w:document xmlns:w="w"><w:body>'), F.when(k % 2 == 0, para(F.col("p_name"))).otherwise(""), first, second, F.lit("<w:p/>"), para(F.lit("below")), F.lit("</w:body></w:document>"))
-    rows = table(spark, sf_dir, "part").select(k.cast("string").alias("path"), _zipped("word/document.xml", body).alias("content"))
+    rows = _parts(spark, sf_dir).select(k.cast("string").alias("path"), _zipped("word/document.xml", body).alias("content"))
     found = word.read_tables(archives.with_kind(rows).filter("kind = 'word'").select("path", "content"))
     return found.select("path", "tbl", "label", F.array_join(F.transform(F.flatten("grid"), lambda c: c["text"]), ",").alias("cells"), "marked")
