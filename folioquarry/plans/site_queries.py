@@ -392,7 +392,7 @@ def deck_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.concat(F.lit("<sld><spTree>"), title, picture, F.lit("</spTree></sld>"))
     second = F.lit("<sld><spTree><grpSp><nv><cNvPr id='9'/></nv></grpSp></spTree></sld>")
     content = _zipped("ppt/presentation.xml", "<p/>", "ppt/slides/slide1.xml", first, "ppt/slides/slide2.xml", second)
-    rows = archives.with_kind(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), content.alias("content"))).filter("kind = 'deck'")
+    rows = archives.with_kind(_parts(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("path"), content.alias("content"))).filter("kind = 'deck'")
     return archives.read_decks(rows.select("path", "content")).select("path", "slide", "shape_id", "kind", "text", "descr", "is_title", F.col("x").cast("int").alias("x"))
 
 
