@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,26 +123,90 @@ def violations(shapes: DataFrame, arrangement: DataFrame) -> DataFrame:
     return at.filter("__a > __b").select("deck", "slide", "first", "second")
 
 
+#: Shapes of a slide up to which its overlaps are sought together with those of other slides.
+FEW_SHAPES = 32
+
+
+def _drawn(title: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> list[int]:
+    """Places of one slide's shapes, given as drawn: always the first by layout of those that no shape still waiting lies under."""
+    n = len(x)
+    waits, above = [0] * n, [[] for _ in range(n)]
+    for i in range(1, n):
+        under = np.flatnonzero((x[:i] < x[i] + w[i]) & (x[i] < x[:i] + w[:i]) & (y[:i] < y[i] + h[i]) & (y[i] < y[:i] + h[:i])).tolist()
+        waits[i] = len(under)
+        for j in under:
+            above[j].append(i)
+    last = lambda v: [math.inf if k != k else k for k in v.tolist()]
+    keys = list(zip((~title).tolist(), last(y), last(x), range(n), strict=True))
+    free, out = [keys[i] for i in range(n) if not waits[i]], []
+    heapq.heapify(free)
+    while free:
+        pick = heapq.heappop(free)[-1]
+        out.append(pick)
+        for i in above[pick]:
+            waits[i] -= 1
+            if not waits[i]:
+                heapq.heappush(free, keys[i])
+    return out
+
+
+def _drafted(slide: np.ndarray, title: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the shapes of many slides, slide after slide, and their ranks.  Slides without overlaps are sorted all at once."""
+    n = len(slide)
+    start = np.flatnonzero(np.diff(slide, prepend=-1))
+    size = np.diff(start, append=n)
+    number = np.repeat(np.arange(len(start)), size)
+    single = size > FEW_SHAPES
+    for k in range(1, min(int(size.max()), FEW_SHAPES)):
+        p, q = slice(None, n - k), slice(k, None)
+        met = (number[p] == number[q]) & (x[p] < x[q] + w[q]) & (x[q] < x[p] + w[p]) & (y[p] < y[q] + h[q]) & (y[q] < y[p] + h[p])
+        single[number[q][met]] = True
+    order = np.lexsort((x, y, ~title, number))
+    for g in np.flatnonzero(single).tolist():
+        a, z = start[g], start[g] + size[g]
+        order[a:z] = a + np.array(_drawn(title[a:z], x[a:z], y[a:z], w[a:z], h[a:z]))
+    return order, np.arange(n) - start[number] + 1
+
+
 def drafted_order(shapes: DataFrame) -> DataFrame:
     """rank of each slide's shapes as they read, but for overlapping ones, which stay in drawing order.
 
-    The order is that of layout among the shapes that no shape still waiting lies under: a slide is one Python call.
+    The order is that of layout among the shapes that no shape still waiting lies under.  Slides come sorted, many in
+    a batch; what a batch holds of its last slide waits for the next one.
     """
-    schema = "deck string, slide long, shape_id long, rank int"
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = list(part.sort_values("seq").itertuples())
-        meet = lambda a, b: a.x < b.x + b.w and b.x < a.x + a.w and a.y < b.y + b.h and b.y < a.y + a.h
-        under = {i: {j for j in range(i) if meet(rows[j], rows[i])} for i in range(len(rows))}
-        out, left = [], set(under)
-        while left:
-            free = [i for i in left if not under[i] & left]
-            pick = min(free, key=lambda i: (not rows[i].is_title, rows[i].y, rows[i].x, i))
-            left.remove(pick)
-            out.append((rows[pick].deck, rows[pick].slide, rows[pick].shape_id, len(out) + 1))
-        return pd.DataFrame(out, columns=["deck", "slide", "shape_id", "rank"])
-
-    return shapes.select("deck", F.col("slide").cast("long").alias("slide"), F.col("shape_id").cast("long").alias("shape_id"), "seq", "x", "y", "w", "h", F.coalesce("is_title", F.lit(False)).alias("is_title")).groupBy("deck", "slide").applyInPandas(run, schema)
+    place = ["deck", "slide"]
+    rows = shapes.select("deck", F.col("slide").cast("long").alias("slide"), F.col("shape_id").cast("long").alias("shape_id"), "seq", "x", "y", "w", "h", F.coalesce("is_title", F.lit(False)).alias("is_title"))
+
+    def ranked(part: pa.Table, code: np.ndarray) -> pa.RecordBatch:
+        value = lambda c: part.column(c).to_numpy()
+        order, rank = _drafted(code, value("is_title").astype(bool), *[value(c) for c in "xywh"])
+        kept = part.select(["deck", "slide", "shape_id"]).take(pa.array(order))
+        return pa.RecordBatch.from_arrays([*[kept.column(c).combine_chunks() for c in range(3)], pa.array(rank, pa.int32())], ["deck", "slide", "shape_id", "rank"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            waiting.append(batch)
+            part, code = _numbered(waiting)
+            last = int(np.searchsorted(code, code[-1])) if len(code) else 0
+            if last:
+                yield ranked(part.slice(0, last), code[:last])
+                waiting = part.slice(last).to_batches()
+        part, code = _numbered(waiting)
+        if len(code):
+            yield ranked(part, code)
+
+    def _numbered(batches: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        """The batches as one table, and the number of each row's slide in it."""
+        if not batches:
+            return pa.table({}), np.zeros(0, np.int64)
+        part = pa.Table.from_batches(batches)
+        codes = [part.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for c in place]
+        new = reduce(np.logical_or, [np.diff(c, prepend=c[:1]) != 0 for c in codes])
+        return part, np.cumsum(new)
+
+    dealt = rows.repartition(*place).sortWithinPartitions(*place, F.asc_nulls_last("seq"), "shape_id")
+    return dealt.mapInArrow(run, "deck string, slide long, shape_id long, rank int")
 
 
 def cropped_apart(pictures: DataFrame) -> DataFrame:
