@@ -19,7 +19,7 @@ def mapped(spark, monkeypatch, name):
     return seen[-1]
 
 
-READERS = {"cartridge_outlines": 3, "collection_outlines": 3, "epub_metadata": 2, "epub_outlines": 2, "word_tables": 2, "deck_shapes": 3}
+READERS = {"cartridge_outlines": 3, "collection_outlines": 3, "epub_metadata": 2, "epub_outlines": 2, "word_tables": 2, "deck_shapes": 3, "epub_items": 3}
 
 
 @pytest.mark.parametrize("name", READERS)
