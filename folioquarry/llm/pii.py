@@ -1,8 +1,7 @@
 """Operator 3: personal data by base rules and a conditional random field over word shapes.
 
-The field labels candidate words: those that hold a digit or an at sign, capitalised words after a form of address or
-an introduction, and the words of a street's address.  Every other word is forced outside, so a text is decoded
-exactly by decoding its runs of candidates.  The field is trained from the labelled table that ``labelled_words``
+The field labels every word of every text.  Words that are outside on every best path, whatever stands beside them,
+cut a text into short runs that are decoded exactly.  The field is trained from the labelled table that ``labelled_words``
 makes by rule, and adds spans beside the base ones: telephone numbers without a plus, cards with dots, addresses of
 hosts that are written with brackets or as version 6, mail without a dotted host, names and street addresses.
 
@@ -77,9 +76,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+class _Shapes(dict):
+    """Table for str.translate that learns a character when it is first met."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = "9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c
+        return self[code]
+
+
+_SHAPES = _Shapes()
+
+
 def shape(word: str) -> str:
     """Digits as 9, letters as A or a, the rest as it is."""
-    return "".join("9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c for c in word)
+    return word.translate(_SHAPES)
 
 
 def _squeeze(text: str) -> str:
@@ -92,31 +103,47 @@ STREETS = "Street St Avenue Ave Road Rd Lane Ln Drive Boulevard Blvd Court Ct Pl
 _EDGES = "\"'.,;:!?#*$%&|<>[]{}"
 
 
-def features(word: str, before: str, after: str) -> list[int]:
-    """Numbers of a word's features; words before and after may be empty."""
+def _plain(word: str) -> str:
+    return _squeeze(shape(word)) if any(c.isdigit() for c in word) else re.sub("[^a-z@+]", "", word.lower())
+
+
+def own_features(word: str) -> list[int]:
+    """Numbers of what a word tells of itself."""
     core = word.strip(_EDGES)
     s, digits = shape(core), re.sub("[^0-9]", "", core)
-    lower = lambda w: re.sub("[^a-z@+]", "", w.lower()) if not any(c.isdigit() for c in w) else _squeeze(shape(w))
     names = [
         "bias",
         f"shape {s}",
         f"short {_squeeze(s)}",
         f"digits {min(len(digits), 20)}",
         f"luhn {len(digits) >= 13 and luhn(digits)}",
-        f"before {lower(before)}",
-        f"after {lower(after)}",
         f"first {s[:2]}",
         f"separators {sorted({c for c in s if not c.isalnum()})}",
         f"groups {[len(g) for g in re.findall('9+', s)]}",
         f"letters {bool(re.search('[Aa]', s))}",
         f"ends {word[len(word.rstrip(_EDGES)) :][:1]}",
         f"street {core in STREETS}",
-        f"cue {before.strip(_EDGES) in CUES} {shape(before)[:1]}",
-        f"next {_squeeze(shape(after.strip(_EDGES)))[:3]} {after.strip(_EDGES) in STREETS}",
     ]
     return [zlib.crc32(n.encode()) % SLOTS for n in names]
 
 
+def before_features(word: str) -> list[int]:
+    """Numbers of what a word, or an empty one where the text begins, tells of the next."""
+    core = word.strip(_EDGES)
+    return [zlib.crc32(n.encode()) % SLOTS for n in (f"before {_plain(word)}", f"cue {core in CUES} {shape(core)[:1]}")]
+
+
+def after_features(word: str) -> list[int]:
+    """Numbers of what a word, or an empty one where the text ends, tells of the one before it."""
+    core = word.strip(_EDGES)
+    return [zlib.crc32(n.encode()) % SLOTS for n in (f"after {_plain(word)}", f"next {_squeeze(shape(core))[:3]} {core in STREETS}")]
+
+
+def features(word: str, before: str, after: str) -> list[int]:
+    """Numbers of a word's features; words before and after may be empty."""
+    return own_features(word) + before_features(before) + after_features(after)
+
+
 def labelled_words(seed: int = 11, n: int = 900) -> list[tuple[list[str], list[int]]]:
     """Runs of words with a digit or at sign between plain words, with labels, made by rule: personal data and what resembles it."""
     rng = np.random.default_rng(seed)
@@ -144,6 +171,12 @@ def labelled_words(seed: int = 11, n: int = 900) -> list[tuple[list[str], list[i
         "ip": [lambda: ".".join(str(rng.integers(1, 256)) for _ in range(4)), lambda: "[.]".join(str(rng.integers(1, 256)) for _ in range(4)), lambda: ":".join(f"{rng.integers(0, 65536):x}" for _ in range(8)), lambda: f"fe80::{rng.integers(1, 65536):x}:{rng.integers(4096, 65536):x}"],
         "card": [lambda: card(), lambda: split(card(), "-"), lambda: split(card(), " "), lambda: split(card(), ".")],
     }
+    ends = ["", "", "", ".", ",", "###", "%%%", "$$$", "***", "&&&", ")", "!!"]
+
+    def heading() -> str:
+        case, end = rng.choice(["capital", "upper", "mixed"]), str(rng.choice(ends))
+        return " ".join((w.upper() if case == "upper" else w.capitalize() if case == "capital" or rng.random() < 0.5 else w) + (end if rng.random() < 0.7 else "") for w in (plain()[: rng.integers(1, 9)] for _ in range(rng.integers(1, 8))))
+
     no = [
         lambda: str(rng.integers(1900, 2100)), lambda: f"{rng.integers(1, 99)}.{d(2)}", lambda: f"{rng.integers(0, 9)}.{rng.integers(0, 9)}.", lambda: f"{rng.integers(1, 9)}.{rng.integers(0, 9)}.{rng.integers(0, 30)}",
         lambda: f"{rng.integers(1990, 2030)}-0{rng.integers(1, 9)}-{rng.integers(10, 28)}", lambda: f"{rng.integers(10, 23)}:{rng.integers(10, 59)}", lambda: f"{rng.integers(1, 9)}-{rng.integers(10, 19)}", lambda: bad(), lambda: d(rng.integers(1, 13)),
@@ -151,14 +184,15 @@ def labelled_words(seed: int = 11, n: int = 900) -> list[tuple[list[str], list[i
         lambda: f"{d(3)},{d(3)},{d(3)}", lambda: f"{d(2)}/{d(2)}/{d(4)}", lambda: f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}",
         lambda: f"{rng.choice(CUES)} {plain()} {plain()}", lambda: f"{rng.choice(CUES)}. {capital()} {plain()} {plain()}.", lambda: f"{rng.integers(1, 99)} {capital()} {plain()}", lambda: f"{capital()} {rng.choice(STREETS)}", lambda: f"{rng.integers(1, 99)} {plain()} {rng.choice(STREETS)}", lambda: f"{d(2)}:{d(2)}:{d(2)}",
         lambda: f"{rng.integers(2, 30)}. {capital()} {plain()} {rng.choice(STREETS)}", lambda: f"{rng.bytes(20).hex()}", lambda: f"{plain()} {plain()} {rng.choice(STREETS)} {plain()}",
+        lambda: f"{plain()}. {capital()} {plain()}", lambda: f"{capital()} {plain()} {plain()}", lambda: f"{capital()} {capital()} {plain()}", lambda: f"{plain()} {capital()}{rng.choice(list('.,;:'))} {plain()}", lambda: plain().upper(),
+        lambda: f"{plain()}{rng.choice(list('.,;:!?'))} {rng.choice(CUES)} {plain()}", lambda: f"{capital()} {rng.choice(CUES)} {plain()}", heading, heading, heading, lambda: " ".join([capital() + str(rng.choice(ends))] * rng.integers(2, 9)),
     ]
-    ends = ["", "", "", ".", ",", "###", "%%%", "$$$", "***", "&&&", ")"]
     cues = {"name": CUES, "address": ["at", "lives", "to"], "phone": ["call", "tel", "phone"], "email": ["mail", "write"], "ip": ["host", "from"], "card": ["card", "pay"]}
     out = []
     for _ in range(n):
         words, labels = [plain(), plain()], [0, 0]
         for _ in range(rng.integers(1, 5)):
-            if rng.random() < 0.6:
+            if rng.random() < 0.5:
                 kind = str(rng.choice(KINDS))
                 if kind == "name" or rng.random() < 0.2:
                     words.append(str(rng.choice(cues[kind])) + (str(rng.choice(["", ".", ":"])) if kind == "name" else ""))
@@ -172,57 +206,30 @@ def labelled_words(seed: int = 11, n: int = 900) -> list[tuple[list[str], list[i
                 words += made
                 labels += [0] * len(made)
             if rng.random() < 0.65:
-                words.append(plain())
-                labels.append(0)
+                between = [str(rng.choice(["", "", "", ".", ","])).join([plain(), ""])] if rng.random() < 0.7 else [plain() + ".", capital()]
+                words += between
+                labels += [0] * len(between)
         out.append(([*words, plain()], [*labels, 0]))
     return out
 
 
 _CUE, _STREET = frozenset(CUES), frozenset(STREETS)
-#: Words after a cue that may be a name, and words of a street's address from its number on.
-NAME_WORDS, STREET_WORDS = 3, 5
 
 
 def candidates(words: list[str]) -> list[bool]:
-    """Which words of a text the field labels."""
-    capital = [w[:1].isupper() or w[1:2].isupper() and w[0] in "\"'(" for w in words]
-    digit = [any("0" <= c <= "9" or c == "@" for c in w) for w in words]
-    out = list(digit)
-    for i, w in enumerate(words):
-        core = w.strip(_EDGES)
-        if core in _CUE:
-            for j in range(i + 1, min(i + 1 + NAME_WORDS, len(words))):
-                if not capital[j]:
-                    break
-                out[j] = True
-        if core in _STREET:
-            for j in range(i - 1, max(-1, i - STREET_WORDS), -1):
-                if digit[j]:
-                    out[j : i + 1] = [True] * (i + 1 - j)
-                    break
-                if not capital[j]:
-                    break
-            if out[i] and i + 2 < len(words) and words[i + 1].strip(_EDGES) in ("Apt", "Suite", "Unit") and digit[i + 2]:
-                out[i + 1] = True
-    return out
+    """Which words of a text the field labels: all."""
+    return [True] * len(words)
+
+
+def _candidate_words(w: Words) -> np.ndarray:
+    """Numbers of the words of a batch that the field labels: all."""
+    return np.arange(len(w.start))
 
 
 def fit(examples: list[tuple[list[str], list[int]]]) -> Crf:
-    """Learns the runs of candidate words of the examples."""
-    runs, labels = [], []
-    for words, marks in examples:
-        new = True
-        for i, (w, y, use) in enumerate(zip(words, marks, candidates(words), strict=True)):
-            if not use:
-                new = True
-                continue
-            if new:
-                runs.append([])
-                labels.append([])
-                new = False
-            runs[-1].append(features(w, words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
-            labels[-1].append(y)
-    return train([np.array(r) for r in runs], [np.array(y) for y in labels], SLOTS, LABELS, rounds=60)
+    """Learns from all words of the examples."""
+    runs = [np.array([features(x, y, z) for x, y, z in zip(w, ["", *w], [*w[1:], ""], strict=False)]) for w, _ in examples]
+    return train(runs, [np.array(y) for _, y in examples], SLOTS, LABELS, rounds=60)
 
 
 @lru_cache(maxsize=1)
@@ -230,63 +237,102 @@ def default_model() -> Crf:
     return fit(labelled_words())
 
 
-#: Hashes of all written forms of the words that make their neighbours candidates.
-_MARKED = np.sort(word_hashes(Words([" ".join(a + w + b for w in (*CUES, *STREETS) for a in ("", "(", '"', "'") for b in ("", ".", ",", ":", ";", ")", ".,"))])))
+@lru_cache(maxsize=50_000)
+def _of_shape(s: str) -> tuple[list[int], int, int]:
+    """What all words of a shape share that hold no digit and are no cue or street's word: their own features, and what they tell of the next and of the one before."""
+    return own_features(s), before_features(s)[1], after_features(s)[1]
 
 
-def _candidate_words(w: Words) -> np.ndarray:
-    """Numbers of the candidate words of a batch: candidates() where a cue or a street's word stands, digits elsewhere."""
-    marks = ((w.data >= 48) & (w.data <= 57)) | (w.data == 64)
-    use = w.total(marks) > 0
-    near = np.flatnonzero(np.isin(word_hashes(w), _MARKED))
-    reach = max(NAME_WORDS, STREET_WORDS) + 2
-    apart = (np.diff(near) > reach) | (np.diff(w.doc[near]) != 0)
-    for group in np.split(near, np.flatnonzero(apart) + 1) if len(near) else ():  # cues in reach of each other, with the words round them
-        doc = w.doc[group[0]]
-        a = max(int(group[0]) - reach, int(np.searchsorted(w.doc, doc)))
-        b = min(int(group[-1]) + 1 + reach, int(np.searchsorted(w.doc, doc, side="right")))
-        use[a:b] |= candidates([w.joined[w.start[j] : w.end[j]].decode() for j in range(a, b)])
-    return np.flatnonzero(use)
+_NO_LETTER = re.compile("[^a-z@+]")
+
+
+def _told(word: str) -> tuple[list[int], int, int, int, int]:
+    """own_features(), before_features() and after_features() of a word, with less work for words without digits."""
+    core = word.strip(_EDGES)
+    if len(word) < 64 and core not in _CUE and core not in _STREET and not any(map(str.isdigit, word)):
+        own, cue, after = _of_shape(shape(word))
+        data = _NO_LETTER.sub("", word.lower()).encode()
+        return own, zlib.crc32(b"before " + data) % SLOTS, cue, zlib.crc32(b"after " + data) % SLOTS, after
+    return own_features(word), *before_features(word), *after_features(word)
+
+
+def emissions(model: Crf, w: Words) -> np.ndarray:
+    """Scores of each label for every word: the sum of what it, the word before and the word after tell; each distinct word is looked at once."""
+    _, once, same = np.unique(word_hashes(w), return_index=True, return_inverse=True)
+    told = [_told(w.joined[a:b].decode()) for a, b in zip(w.start[once].tolist(), w.end[once].tolist(), strict=True)]
+    weights = model.weights
+    own = model.emissions(np.array([t[0] for t in told]))
+    pairs = np.array([t[1:] for t in told])
+    before, after = weights[pairs[:, 0]] + weights[pairs[:, 1]], weights[pairs[:, 2]] + weights[pairs[:, 3]]
+    out = own[same]
+    new = np.diff(w.doc, prepend=-1) != 0
+    prior = before[np.concatenate([[0], same[:-1]])]
+    prior[new] = weights[before_features("")].sum(0)
+    later = after[np.concatenate([same[1:], [0]])]
+    later[np.append(new[1:], True)] = weights[after_features("")].sum(0)
+    return out + prior + later
+
+
+def outside(model: Crf, scores: np.ndarray) -> np.ndarray:
+    """Words that are outside on every best path: no label's gain by its neighbours makes up for its score, whatever they are."""
+    t, f = model.step, model.first
+    into = np.vstack([t, f])  # from each label, or from the text's begin
+    out = np.hstack([t, np.zeros((len(t), 1))])  # to each label, or to the text's end
+    gain = (into - into[:, :1]).max(0) + (out - out[:1]).max(1)
+    return (scores[:, 1:] + gain[1:] < scores[:, :1] - 1e-6).all(1)
+
+
+def decode(model: Crf, w: Words) -> np.ndarray:
+    """The best labels of every word of every text.
+
+    Texts are cut at words that are outside on every best path, which leaves the paths as they are: what stands
+    between two such words is decoded with them.
+    """
+    scores = emissions(model, w)
+    sure = outside(model, scores)
+    labels = np.zeros(len(scores), np.int8)
+    new = np.diff(w.doc, prepend=-1) != 0
+    end = np.append(new[1:], True)
+    open_ = ~sure
+    use = open_ | (np.append(open_[1:], False) & ~end) | (np.concatenate([[False], open_[:-1]]) & ~new)
+    at = np.flatnonzero(use)
+    if len(at):
+        scores = scores[at]
+        scores[sure[at], 1:] = -np.inf
+        apart = (np.diff(at) != 1) | new[at[1:]]
+        labels[at] = viterbi(model, scores, np.concatenate([[0], np.flatnonzero(apart) + 1, [len(at)]]))
+    return labels
 
 
 def find(model: Crf, texts: list[str | None]) -> list[tuple[list, list]]:
-    """(base spans, added spans) of each text in code points."""
-    w, n = Words(texts), len(texts)
+    """(base spans, added spans) of each text in code points; every word of every text is labelled."""
+    w = Words(texts)
     data = w.data
-    at = _candidate_words(w)
-    out: list[tuple[list, list]] = [([], []) for _ in range(n)]
-    if not len(at):
+    out: list[tuple[list, list]] = [([], []) for _ in texts]
+    if not len(w.start):
         return out
-    get = lambda i: w.joined[w.start[i] : w.end[i]].decode()
-    near = lambda i, j: get(j) if 0 <= j < len(w.start) and w.doc[j] == w.doc[i] else ""
-    words = [get(i) for i in at]
-    active = np.array([features(x, near(i, i - 1), near(i, i + 1)) for x, i in zip(words, at, strict=True)])
-    apart = (np.diff(at) != 1) | (np.diff(w.doc[at]) != 0)
-    first = np.concatenate([[0], np.flatnonzero(apart) + 1, [len(at)]])
-    labels = viterbi(model, model.emissions(active), first)
-    number = np.cumsum(char_starts(data))  # code points up to and with a byte
-    zero = number[w.first[:-1][np.unique(w.doc[at])]] - 1
-    zero = dict(zip(np.unique(w.doc[at]).tolist(), zero.tolist(), strict=True))
-    for doc in zero:
+    marks = np.unique(w.doc[w.total(((data >= 48) & (data <= 57)) | (data == 64)) > 0])  # all base spans hold a digit or an at sign
+    for doc in marks.tolist():
         out[doc] = (base_spans(texts[doc]), [])
-    k = 0
-    while k < len(at):
-        y, stop = int(labels[k]), k + 1
-        if y:
-            kind = KINDS[(y - 1) // 2]
-            while stop < len(at) and labels[stop] == 2 + 2 * KINDS.index(kind) and stop not in first:
-                stop += 1
-            doc = int(w.doc[at[k]])
-            a = int(number[w.start[at[k]]]) - 1 - zero[doc]
-            b = int(number[w.end[at[stop - 1]] - 1]) - zero[doc]
-            text = texts[doc]
-            while a < b and not (text[a].isalnum() or text[a] in "+("):
-                a += 1
-            while a < b and not text[b - 1].isalnum():
-                b -= 1
-            if valid(kind, text[a:b]) and not any(x < b and a < z for x, z, _ in out[doc][0] + out[doc][1]):
-                out[doc][1].append((a, b, kind))
-        k = stop
+    labels = decode(model, w)
+    number = np.cumsum(char_starts(data))  # code points up to and with a byte
+    stop = 0
+    for k in np.flatnonzero(labels).tolist():
+        if k < stop:
+            continue
+        kind, doc, stop = KINDS[(int(labels[k]) - 1) // 2], int(w.doc[k]), k + 1
+        while stop < len(labels) and labels[stop] == 2 + 2 * KINDS.index(kind) and w.doc[stop] == doc:
+            stop += 1
+        zero = int(number[w.first[doc]]) - 1
+        a = int(number[w.start[k]]) - 1 - zero
+        b = int(number[w.end[stop - 1] - 1]) - zero
+        text = texts[doc]
+        while a < b and not (text[a].isalnum() or text[a] in "+("):
+            a += 1
+        while a < b and not text[b - 1].isalnum():
+            b -= 1
+        if valid(kind, text[a:b]) and not any(x < b and a < z for x, z, _ in out[doc][0] + out[doc][1]):
+            out[doc][1].append((a, b, kind))
     return out
 
 
