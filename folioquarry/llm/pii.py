@@ -107,7 +107,7 @@ def _plain(word: str) -> str:
     return _squeeze(shape(word)) if any(c.isdigit() for c in word) else re.sub("[^a-z@+]", "", word.lower())
 
 
-def own_features(word: str) -> list[int]:
+def own_features(word: str) -> tuple[int, ...]:
     """Numbers of what a word tells of itself."""
     core = word.strip(_EDGES)
     s, digits = shape(core), re.sub("[^0-9]", "", core)
@@ -124,7 +124,7 @@ def own_features(word: str) -> list[int]:
         f"ends {word[len(word.rstrip(_EDGES)) :][:1]}",
         f"street {core in STREETS}",
     ]
-    return [zlib.crc32(n.encode()) % SLOTS for n in names]
+    return tuple(zlib.crc32(n.encode()) % SLOTS for n in names)
 
 
 def before_features(word: str) -> list[int]:
@@ -141,7 +141,7 @@ def after_features(word: str) -> list[int]:
 
 def features(word: str, before: str, after: str) -> list[int]:
     """Numbers of a word's features; words before and after may be empty."""
-    return own_features(word) + before_features(before) + after_features(after)
+    return [*own_features(word), *before_features(before), *after_features(after)]
 
 
 def labelled_words(seed: int = 11, n: int = 900) -> list[tuple[list[str], list[int]]]:
@@ -238,7 +238,7 @@ def default_model() -> Crf:
 
 
 @lru_cache(maxsize=50_000)
-def _of_shape(s: str) -> tuple[list[int], int, int]:
+def _of_shape(s: str) -> tuple[tuple[int, ...], int, int]:
     """What all words of a shape share that hold no digit and are no cue or street's word: their own features, and what they tell of the next and of the one before."""
     return own_features(s), before_features(s)[1], after_features(s)[1]
 
@@ -246,7 +246,7 @@ def _of_shape(s: str) -> tuple[list[int], int, int]:
 _NO_LETTER = re.compile("[^a-z@+]")
 
 
-def _told(word: str) -> tuple[list[int], int, int, int, int]:
+def _told(word: str) -> tuple[tuple[int, ...], int, int, int, int]:
     """own_features(), before_features() and after_features() of a word, with less work for words without digits."""
     core = word.strip(_EDGES)
     if len(word) < 64 and core not in _CUE and core not in _STREET and not any(map(str.isdigit, word)):
@@ -261,7 +261,9 @@ def emissions(model: Crf, w: Words) -> np.ndarray:
     _, once, same = np.unique(word_hashes(w), return_index=True, return_inverse=True)
     told = [_told(w.joined[a:b].decode()) for a, b in zip(w.start[once].tolist(), w.end[once].tolist(), strict=True)]
     weights = model.weights
-    own = model.emissions(np.array([t[0] for t in told]))
+    alike: dict[tuple, int] = {}  # most words share their own features with others
+    kinds = np.array([alike.setdefault(t[0], len(alike)) for t in told])
+    own = model.emissions(np.array(list(alike)))[kinds]
     pairs = np.array([t[1:] for t in told])
     before, after = weights[pairs[:, 0]] + weights[pairs[:, 1]], weights[pairs[:, 2]] + weights[pairs[:, 3]]
     out = own[same]
