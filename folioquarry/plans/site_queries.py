@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
+import struct
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -304,6 +304,23 @@ def repaired_code_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.decoded(rows).select("doc_id", F.md5("text").alias("digest"))
 
 
+#: What precedes a member of a zip archive, its entry in the directory, and the archive's end.
+_LOCAL, _ENTRY, _END = (struct.Struct(f) for f in ("<4s5H3L2H", "<4s6H3L5H2L", "<4s4H2LH"))
+
+
+def _stored(members: list[tuple[str, str]]) -> bytes:
+    """A zip archive of members as they are, without zipfile's objects for each."""
+    local, entries, at = [], [], 0
+    for name, text in members:
+        raw, data = name.encode(), text.encode()
+        same = 20, 0 if raw.isascii() else 0x800, 0, 0, 33, zlib.crc32(data), len(data), len(data), len(raw), 0  # the first of January 1980
+        local += [_LOCAL.pack(b"PK\3\4", *same), raw, data]
+        entries += [_ENTRY.pack(b"PK\1\2", 20, *same, 0, 0, 0, 0, at), raw]
+        at += 30 + len(raw) + len(data)
+    directory = b"".join(entries)
+    return b"".join([*local, directory, _END.pack(b"PK\5\6", 0, 0, len(members), len(members), len(directory), at, 0)])
+
+
 def _zipped(*texts):
     """A zip archive of the texts of some columns, their names being the first, third, ... of them."""
     given = [i for i, t in enumerate(texts) if not isinstance(t, str)]
@@ -315,11 +332,7 @@ def _zipped(*texts):
             every = list(fixed)
             for i, v in zip(given, values, strict=True):
                 every[i] = v
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w") as z:
-                for name, text in zip(every[::2], every[1::2], strict=True):
-                    z.writestr(name, text)
-            return out.getvalue()
+            return _stored(list(zip(every[::2], every[1::2], strict=True)))
 
         return pd.Series([one(values) for values in zip(*columns, strict=True)])
 
